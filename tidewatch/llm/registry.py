@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import inverted_index, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op10_decontamination": inverted_index.op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_decontamination": inverted_index.ORACLE,
+}
