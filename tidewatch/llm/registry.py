@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import inverted_index, simhash
+from . import inverted_index, mixing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op7_mixing": mixing.op7_mixing,
     "op10_decontamination": inverted_index.op10_decontamination,
 }
 
