@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import inverted_index, mixing, simhash
+from . import inverted_index, mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op7_mixing": mixing.op7_mixing,
+    "op9_quality": quality.op9_quality,
     "op10_decontamination": inverted_index.op10_decontamination,
 }
 
