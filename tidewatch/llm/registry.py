@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import inverted_index, mixing, quality, simhash
+from . import inverted_index, lines, mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op6_line_dedup": lines.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": inverted_index.op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": lines.ORACLE,
     "op10_decontamination": inverted_index.ORACLE,
 }
