@@ -237,6 +237,22 @@ def mix(
     )
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; columns as they are.
+
+    Equal rows are one document that takes the copies of all of them together.
+    """
+    hashed = [c for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind]
+    keyed = docs.withColumn("__key", F.xxhash64(*hashed))
+    slim = keyed.select(F.col("__key").alias("doc_id"), "source", "text")
+    copies = mix(slim).groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").alias("__copies"))
+    rows = keyed.groupBy("__key").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    taken = rows.join(copies.where("__copies > 0"), "__key")
+    return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir))
     return mixed.select(
