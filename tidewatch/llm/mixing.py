@@ -23,7 +23,7 @@ SHARE = 1.5
 #: Most copies of a document, and of a source's tokens.
 LIMIT = 2
 #: Rows of one size in one source that a single window handles.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 #: Sizes of a source, from the largest, whose rounding is carried on exactly.
 TOP_SIZES = 256
 #: Newton steps stop when every source is this near its target, relatively.
