@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import inverted_index, lines, mixing, quality, shards, simhash
+from . import inverted_index, jpeg, lines, mixing, quality, shards, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_media": jpeg.op3_media,
     "op4_sharding": shards.op4_sharding,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
