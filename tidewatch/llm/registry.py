@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import inverted_index, jpeg, lines, mixing, quality, shards, simhash
+from . import inverted_index, jpeg, lines, mixing, quality, shards, simhash, suffix_tree_lm
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sharding": shards.op4_sharding,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op8_language_model": suffix_tree_lm.op8_language_model,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": inverted_index.op10_decontamination,
 }
