@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_text, inverted_index, jpeg, lines, mixing, quality, shards, simhash, suffix_tree_lm
+from . import html_text, inverted_index, jpeg, lines, mixing, quality, repeats, shards, simhash, suffix_tree_lm
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_html_text": html_text.op2_html_text,
     "op3_media": jpeg.op3_media,
     "op4_sharding": shards.op4_sharding,
+    "op5_repeats": repeats.op5_repeats,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_model": suffix_tree_lm.op8_language_model,
