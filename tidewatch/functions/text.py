@@ -69,10 +69,16 @@ def entities(c: Column) -> Column:
 
     # Words that end a run become a separator, which no token holds.
     runs = F.split(F.array_join(F.transform(tokens(c), part), " "), "\n")
-    runs = F.filter(F.transform(runs, F.trim), lambda r: r != "")
-    low = F.transform(runs, ascii_lower)
-    first = F.filter(runs, lambda r, i: F.array_position(low, ascii_lower(r)) == i + 1)
-    return F.slice(first, 1, MAX_ENTITIES)
+    runs = F.filter(F.transform(runs, lambda r: F.trim(r)), lambda r: r != "")
+    none = F.array().cast("array<string>")
+
+    def add(state: Column, run: Column) -> Column:
+        again = F.array_contains(state["seen"], ascii_lower(run)) | (F.size(state["out"]) >= MAX_ENTITIES)
+        seen = F.when(again, state["seen"]).otherwise(F.concat(state["seen"], F.array(ascii_lower(run))))
+        out = F.when(again, state["out"]).otherwise(F.concat(state["out"], F.array(run)))
+        return F.struct(seen.alias("seen"), out.alias("out"))
+
+    return F.aggregate(runs, F.struct(none.alias("seen"), none.alias("out")), add)["out"]
 
 
 def valid_text(c: Column) -> Column:

@@ -58,10 +58,11 @@ def matched_pages(chain: DataFrame, rules: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, batch: DataFrame, root: str, sources: DataFrame, rules: DataFrame) -> None:
     """Take in one batch: refuse, chain, match, and write what is new. Pointers are written last."""
     batch = batch.persist()
+    chain = candidates = conflicts = None
     try:
         good, rejected = pages.admitted(batch, sources)
         chain = pages.revision_chain(pages.arrivals(good), known=known_revisions(spark, root)).persist()
-        candidates = match.reverse_candidates(matched_pages(chain, rules), F.col("fetched_at"))
+        candidates = match.reverse_candidates(matched_pages(chain, rules), F.col("fetched_at")).persist()
         inserted, _, conflicts = match.merge_candidates(candidates, stored(spark, root, "match_candidates"), match.REVERSE_EVIDENCE)
         conflicts = conflicts.persist()
         fresh = match.without_conflicted_pages(pages.new_revisions(chain), conflicts)
@@ -74,10 +75,10 @@ def ingest(spark: SparkSession, batch: DataFrame, root: str, sources: DataFrame,
         pointers.select(
             "page_id", "revision_id", "seq", "fetched_at", "tenant_id", "source_id", "canonical_url"
         ).write.mode("append").parquet(f"{root}/page_pointers")
-        chain.unpersist()
-        conflicts.unpersist()
     finally:
-        batch.unpersist()
+        for held in (batch, chain, candidates, conflicts):
+            if held is not None:
+                held.unpersist()
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
