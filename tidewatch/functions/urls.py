@@ -1,13 +1,13 @@
 """Canonical URLs under a source's policy.
 
-Each step is an expression: the URL is split by regular expressions, never by a
-parser that keeps host case or dot segments. The result is a struct of the
-canonical URL and, where it is refused, a reason.
+The URL is split by regular expressions, never by a parser that keeps host case
+or dot segments. The result is a struct of the canonical URL and, where it is
+refused, a reason.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import ascii_lower
@@ -71,44 +71,59 @@ def _without_dots(path: Column) -> Column:
     return F.when(has_dots, resolved).otherwise(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path)))
 
 
-def canonical_url(url: Column, allowed_hosts: Column, include_subdomains: Column, path_prefixes: Column) -> Column:
-    """struct(canonical, reject_reason) of a URL under a policy; exactly one of the two is null.
+def with_canonical_url(
+    df: DataFrame, out: str, url: Column, allowed_hosts: Column, include_subdomains: Column, path_prefixes: Column
+) -> DataFrame:
+    """``df`` with ``out``, a struct (canonical, reject_reason) of the URL under a policy; one of the two is null.
 
     Kept: the query, an unusual port, a dot at the host's end. Dropped: the
     fragment, the scheme's own port. Lower-cased: scheme and host. Resolved: dot
-    segments. An empty path becomes /.
+    segments. An empty path becomes /. Steps are columns of their own on the way,
+    so that what several steps use is computed once.
     """
-    raw = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    scheme = ascii_lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    web = scheme.isin("http", "https")
-    rest = F.regexp_replace(raw, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]*", "")
+    steps: list[str] = []
+
+    def step(name: str, value: Column) -> Column:
+        nonlocal df
+        column = f"__{out}_{name}"
+        df = df.withColumn(column, value)
+        steps.append(column)
+        return F.col(column)
+
+    raw = step("raw", F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""))
+    scheme = step("scheme", ascii_lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)))
+    rest = step("all", F.regexp_replace(raw, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]*", ""))
     # Backslashes before the query count as slashes.
-    head = F.translate(F.regexp_extract(rest, r"^([^?#]*)", 1), "\\", "/")
-    rest = F.concat(head, F.substring(rest, F.char_length(head) + 1, F.char_length(rest)))
-    authority = F.regexp_extract(rest, _SPLIT, 1)
+    head = step("head", F.translate(F.regexp_extract(rest, r"^([^?#]*)", 1), "\\", "/"))
+    rest = step("rest", F.concat(head, F.substring(rest, F.char_length(head) + 1, F.char_length(rest))))
+    authority = step("authority", F.regexp_extract(rest, _SPLIT, 1))
     user = F.regexp_extract(authority, r"^(.*)@", 1)
-    place = F.regexp_replace(authority, r"^.*@", "")
-    shown = ascii_lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1))
-    port = F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
+    place = step("place", F.regexp_replace(authority, r"^.*@", ""))
+    shown = step("shown", ascii_lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1)))
+    port = step("port", F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1))
     number = F.regexp_replace(port, r"^0+(?=\d)", "")
-    host = normalize_host(shown)
+    host = step("host", normalize_host(shown))
     label = F.element_at(F.split(host, r"\."), -1)
     address = F.startswith(shown, F.lit("[")) | label.rlike(r"^(\d+|0x[0-9a-f]*)$")
-    path = _encoded(_without_dots(F.regexp_extract(rest, _SPLIT, 2)), r"\"<>`{}^")
-    query = _encoded(F.regexp_extract(rest, _SPLIT, 3), r"\"<>'")
+    plain = step("plain", F.regexp_extract(rest, _SPLIT, 2))
+    path = step("path", _encoded(step("resolved", _without_dots(plain)), r"\"<>`{}^"))
+    query = _encoded(step("query", F.regexp_extract(rest, _SPLIT, 3)), r"\"<>'")
     own_port = F.when(scheme == "http", DEFAULT_PORTS["http"]).otherwise(DEFAULT_PORTS["https"])
+    bad_port = ~port.rlike(r"^\d*$") | (F.char_length(number) > 5) | (F.expr(f"try_cast(`__{out}_port` AS BIGINT)") > 65535)
     reason = (
         F.when(url.isNull() | (scheme == ""), "invalid_url")
-        .when(~web, "scheme_not_allowed")
+        .when(~scheme.isin(*DEFAULT_PORTS), "scheme_not_allowed")
         .when(shown == "", "invalid_url")
-        .when(~port.rlike(r"^\d*$") | (F.try_to_number(F.concat(F.lit("0"), number), F.lit("9999999999")) > 65535), "invalid_url")
-        .when(shown.rlike(r"^[^\[].*[\x00-\x20#%/:<>?@\[\\\]^|]") | shown.rlike(r"^[\x00-\x20#%/:<>?@\\\]^|]"), "invalid_url")
+        .when(F.coalesce(bad_port, F.lit(False)), "invalid_url")
+        .when(~F.startswith(shown, F.lit("[")) & shown.rlike(r"[\x00-\x20#%/:<>?@\[\\\]^|]"), "invalid_url")
         .when(F.regexp_replace(user, "^:$", "") != "", "credentials")
         .when(address, "ip_literal")
         .when((host == "localhost") | ~F.contains(host, F.lit(".")), "not_public_host")
         .when(~F.coalesce(host_is_allowed(host, allowed_hosts, include_subdomains), F.lit(False)), "host_not_allowed")
         .when(~F.coalesce(path_is_allowed(path, path_prefixes), F.lit(False)), "path_not_allowed")
     )
+    reason = step("reason", reason)
     with_port = F.when((port == "") | (number == own_port), F.lit("")).otherwise(F.concat(F.lit(":"), number))
-    whole = F.concat(scheme, F.lit("://"), shown, with_port, path, query)
-    return F.struct(F.when(reason.isNull(), whole).alias("canonical"), reason.alias("reject_reason"))
+    whole = step("whole", F.concat(scheme, F.lit("://"), shown, with_port, path, query))
+    found = F.struct(F.when(reason.isNull(), whole).alias("canonical"), reason.alias("reject_reason"))
+    return df.withColumn(out, found).drop(*steps)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import derived_uuid
 from ..functions.text import content_sha256
-from ..functions.urls import canonical_url
+from ..functions.urls import with_canonical_url
 
 PAGE = ["tenant_id", "source_id", "canonical_url"]
 
@@ -40,7 +40,8 @@ def admitted(fetches: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFra
     )
     joined = fetches.join(s, ["tenant_id", "source_id"], "left")
     policy = (F.col("allowed_hosts"), F.col("include_subdomains"), F.col("allowed_path_prefixes"))
-    joined = joined.withColumn("first", canonical_url(F.col("url"), *policy)).withColumn("last", canonical_url(F.col("final_url"), *policy))
+    joined = with_canonical_url(joined, "first", F.col("url"), *policy)
+    joined = with_canonical_url(joined, "last", F.col("final_url"), *policy)
     reason = (
         F.when(F.col("source_enabled").isNull(), "unknown_source").when(~F.col("source_enabled"), "source_disabled")
         .otherwise(F.coalesce(F.get(fetch_errors(), F.lit(0)), F.col("first.reject_reason"), F.col("last.reject_reason")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scope
 from ..functions.ids import derived_uuid
 from ..functions.text import collapse_whitespace, excerpt
-from ..functions.urls import canonical_url
+from ..functions.urls import with_canonical_url
 from ..functions.vectors import embedding_sha256, is_finite, is_valid
 from . import audit
 
@@ -173,8 +173,8 @@ def create_sources(submissions: DataFrame, stored: DataFrame, at: Column) -> Dat
 
     A root URL occurs once in a tenant; the first in seq takes it.
     """
-    root = canonical_url(F.col("root_url"), F.col("allowed_hosts"), F.col("include_subdomains"), F.col("allowed_path_prefixes"))
-    out = submissions.withColumn("root", root).withColumn(
+    policy = (F.col("allowed_hosts"), F.col("include_subdomains"), F.col("allowed_path_prefixes"))
+    out = with_canonical_url(submissions, "root", F.col("root_url"), *policy).withColumn(
         "reason", F.coalesce(F.col("root.reject_reason"), F.get(audit.errors_of("sources"), F.lit(0)))
     )
     taken = stored.select("tenant_id", F.col("root_url").alias("canonical_root")).distinct().withColumn("taken", F.lit(True))

@@ -90,8 +90,9 @@ def page_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_policy(spark: SparkSession, d: str) -> DataFrame:
-    checked = urls.canonical_url(F.col("url"), F.array(F.lit("example.com")), F.lit(True), F.array(F.lit("/en"), F.lit("/de")))
-    return derived.table(spark, d, "pages").select("page_id", checked.alias("c")).select("page_id", "c.canonical", "c.reject_reason")
+    policy = (F.array(F.lit("example.com")), F.lit(True), F.array(F.lit("/en"), F.lit("/de")))
+    checked = urls.with_canonical_url(derived.table(spark, d, "pages").select("page_id", "url"), "c", F.col("url"), *policy)
+    return checked.select("page_id", "c.canonical", "c.reject_reason")
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
