@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
     )
     # Ties are broken by content so that the order of training is the same in every run.
     ordered = bags.orderBy(F.xxhash64("ids", "label")).coalesce(1)
-    return np.array(ordered.mapInArrow(_train_batches, "weights array<float>").first()["weights"], np.float64)
+    row = ordered.mapInArrow(_train_batches, "weights array<float>").first()
+    return np.array(row["weights"], np.float64) if row else np.zeros(BUCKETS + 1)
 
 
 def _score_batches(sent):
@@ -207,10 +208,14 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, good: float = GOOD) -> DataFrame:
     """The rows of ``docs`` whose text scores ``good`` or more; columns as they are.
 
-    A row goes if the least score of the rows with its doc_id is lower.
+    A row goes if the least score of the rows with its doc_id is lower. Without
+    labels to learn from all rows stay.
     """
+    weights = fit(docs, labels)
+    if not weights.any():
+        return docs
     poor = (
-        score(docs, fit(docs, labels)).where(F.col("score") < good).select(F.col("doc_id").alias("__poor")).distinct()
+        score(docs, weights).where(F.col("score") < good).select(F.col("doc_id").alias("__poor")).distinct()
     )
     return docs.join(poor, F.col("doc_id").eqNullSafe(F.col("__poor")), "left_anti")
 
