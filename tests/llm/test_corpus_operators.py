@@ -325,3 +325,17 @@ def test_stages_take_odd_rows(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() <= 2 * len(ODD)
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_pieces_change_nothing(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    row = suffix_tree_lm.make_shards(docs).first()
+    body, ends = np.frombuffer(bytes(row.body), np.uint8), np.array(row.ends)
+    rng = np.random.default_rng(1)
+    tree = suffix_tree_lm.Tree(rng.random(256) / 300, [], [])
+    whole = suffix_tree_lm.word_hashes(body), suffix_tree_lm.token_ends(body), suffix_tree_lm.spelled(body, ends, tree)
+    monkeypatch.setattr(suffix_tree_lm, "PIECE_BYTES", 7)
+    small = suffix_tree_lm.word_hashes(body), suffix_tree_lm.token_ends(body), suffix_tree_lm.spelled(body, ends, tree)
+    assert all(np.allclose(a, b) if a.dtype.kind == "f" else (a == b).all() for a, b in zip(whole, small, strict=True))
+    tokens = [w for d in docs.collect() for w in [*d.text.encode().lower().split(), b"\n"]]
+    assert len(whole[0]) == len(tokens) and len(set(whole[0].tolist())) == len(set(tokens))
