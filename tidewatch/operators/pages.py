@@ -29,8 +29,8 @@ def fetch_errors() -> Column:
     return F.filter(flags, lambda x: x.isNotNull())
 
 
-def admitted(fetches: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected): fetches with canonical URLs, and the others with ``reject_reason``.
+def classified(fetches: DataFrame, sources: DataFrame) -> DataFrame:
+    """Fetches with canonical URLs and ``reject_reason``, which is null for good ones.
 
     A fetch is refused if its source is unknown in its tenant or disabled, if
     either of its URLs is outside the source's policy, or if a field is.
@@ -46,11 +46,15 @@ def admitted(fetches: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFra
         F.when(F.col("source_enabled").isNull(), "unknown_source").when(~F.col("source_enabled"), "source_disabled")
         .otherwise(F.coalesce(F.get(fetch_errors(), F.lit(0)), F.col("first.reject_reason"), F.col("last.reject_reason")))
     )
-    joined = joined.withColumn("reject_reason", reason)
-    good = joined.where("reject_reason IS NULL").select(
-        *fetches.columns, F.col("first.canonical").alias("original_canonical_url"), F.col("last.canonical").alias("canonical_url")
+    return joined.select(
+        *fetches.columns, F.col("first.canonical").alias("original_canonical_url"), F.col("last.canonical").alias("canonical_url"),
+        reason.alias("reject_reason"),
     )
-    return good, joined.where("reject_reason IS NOT NULL").select(*fetches.columns, "reject_reason")
+
+
+def admitted(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) of classified fetches. Keep those at hand: a filter on an open plan repeats its steps."""
+    return judged.where("reject_reason IS NULL").drop("reject_reason"), judged.where("reject_reason IS NOT NULL")
 
 
 def arrivals(fetches: DataFrame) -> DataFrame:

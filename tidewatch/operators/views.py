@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.ids import derived_uuid
@@ -101,7 +102,7 @@ def input_report(inputs: DataFrame, key: str) -> DataFrame:
 
 def embed(inputs: DataFrame, embedder: Callable[[pd.Series], pd.Series], column: str = "text") -> DataFrame:
     """Inputs with ``embedding``: the embedder maps a batch of texts to a batch of vectors on the executors."""
-    schema = inputs.schema.add("embedding", "array<float>")
+    schema = T.StructType([*inputs.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

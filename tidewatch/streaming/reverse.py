@@ -57,10 +57,10 @@ def matched_pages(chain: DataFrame, rules: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, batch: DataFrame, root: str, sources: DataFrame, rules: DataFrame) -> None:
     """Take in one batch: refuse, chain, match, and write what is new. Pointers are written last."""
-    batch = batch.persist()
+    judged = pages.classified(batch, sources).persist()
     chain = candidates = conflicts = None
     try:
-        good, rejected = pages.admitted(batch, sources)
+        good, rejected = pages.admitted(judged)
         chain = pages.revision_chain(pages.arrivals(good), known=known_revisions(spark, root)).persist()
         candidates = match.reverse_candidates(matched_pages(chain, rules), F.col("fetched_at")).persist()
         inserted, _, conflicts = match.merge_candidates(candidates, stored(spark, root, "match_candidates"), match.REVERSE_EVIDENCE)
@@ -76,7 +76,7 @@ def ingest(spark: SparkSession, batch: DataFrame, root: str, sources: DataFrame,
             "page_id", "revision_id", "seq", "fetched_at", "tenant_id", "source_id", "canonical_url"
         ).write.mode("append").parquet(f"{root}/page_pointers")
     finally:
-        for held in (batch, chain, candidates, conflicts):
+        for held in (judged, chain, candidates, conflicts):
             if held is not None:
                 held.unpersist()
 
