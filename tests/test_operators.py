@@ -181,13 +181,13 @@ def test_provider_output(spark):
 
 def test_page_views_of_markup(spark):
     html = "<html><head><title>A &amp; B</title><script>x='<h1>no</h1>'</script></head><body><h1>Head</h1><h2>Sub</h2><p>First one. Acme Labs grows!</p></body></html>"
-    got = spark.range(1).select(F.inline(views.page_inputs(F.lit(html), F.lit("https://e.com/news/42/acme-labs")))).collect()
+    got = views.with_page_inputs(spark.range(1), "x", F.lit(html), F.lit("https://e.com/news/42/acme-labs")).select(F.inline("x")).collect()
     kinds = {}
     for r in got:
         kinds.setdefault(r.kind, []).append(r.text)
     assert kinds["title"] == ["A & B"] and kinds["heading"] == ["Head", "Sub"] and kinds["summary"] == ["First one."]
     assert kinds["sentence"] == ["First one.", "Acme Labs grows!"] and kinds["url_signal"] == ["news", "acme", "labs"]
-    bare = spark.range(1).select(views.page_inputs(F.lit(""), F.lit("https://e.com/"), F.lit("  ")).alias("x")).first().x
+    bare = views.with_page_inputs(spark.range(1), "x", F.lit(""), F.lit("https://e.com/"), F.lit("  ")).first().x
     assert bare == []
 
 

@@ -46,31 +46,36 @@ def url_signals(url: Column) -> Column:
     return F.array_distinct(words)
 
 
-def page_inputs(html: Column, url: Column, content: Column | None = None) -> Column:
-    """An array of (kind, text, weight): title, headings, lead, sentences, keywords, entities, URL words.
+def with_page_inputs(df: DataFrame, out: str, html: Column, url: Column, content: Column | None = None) -> DataFrame:
+    """``df`` with an array of (kind, text, weight): title, headings, summary, sentences, keywords, entities, URL words.
 
     A page from which nothing comes gives its content as one document view. Texts
     are cut at 700 characters, kinds and texts are distinct, and at most 96 stay.
+    The cleaned page, its content and its sentences are columns on the way, so
+    that what several views use is computed once.
     """
-    clean = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    names = [f"__{out}_{n}" for n in ("clean", "content", "sentences")]
+    clean, text_of, parted = (F.col(n) for n in names)
+    df = df.withColumn(names[0], F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "))
     body = _all(clean, r"(?is)<p\b[^>]*>(.*?)(?=</?p\b|</?article\b|</?div\b|$)")
-    content = F.array_join(body, " ") if content is None else content
+    df = df.withColumn(names[1], F.array_join(body, " ") if content is None else content)
+    df = df.withColumn(names[2], sentences(text_of))
 
     def tagged(kind: str, items: Column) -> Column:
         return F.transform(
             items, lambda x: F.struct(F.lit(kind).alias("kind"), F.left(x, F.lit(text.MAX_TEXT)).alias("text"), F.lit(WEIGHTS[kind]).cast("float").alias("weight"))
         )
 
-    lead = F.slice(sentences(content), 1, 1)
     parts = F.concat(
         tagged("title", F.slice(_all(clean, r"(?is)<title\b[^>]*>(.*?)</title"), 1, 1)),
         tagged("heading", _all(clean, r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]")),
-        tagged("summary", lead), tagged("sentence", sentences(content)), tagged("keyword", text.keywords(content)),
-        tagged("entity", text.entities(content)), tagged("url_signal", url_signals(url)),
+        tagged("summary", F.slice(parted, 1, 1)), tagged("sentence", parted), tagged("keyword", text.keywords(text_of)),
+        tagged("entity", text.entities(text_of)), tagged("url_signal", url_signals(url)),
     )
-    fallback = tagged("document", F.filter(F.array(text.collapse_whitespace(content)), lambda x: x != ""))
-    parts = F.when(F.size(parts) > 0, parts).otherwise(fallback)
-    return F.slice(F.array_distinct(parts), 1, MAX_INPUTS)
+    fallback = tagged("document", F.filter(F.array(text.collapse_whitespace(text_of)), lambda x: x != ""))
+    df = df.withColumn(out, parts)
+    df = df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(fallback))
+    return df.withColumn(out, F.slice(F.array_distinct(out), 1, MAX_INPUTS)).drop(*names)
 
 
 def exploded(df: DataFrame, key: list[str], inputs: Column) -> DataFrame:

@@ -241,7 +241,8 @@ def frontier_due(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_views(spark: SparkSession, d: str) -> DataFrame:
-    inputs = views.exploded(derived.table(spark, d, "pages"), ["page_id"], views.page_inputs(F.col("html"), F.col("url")))
+    viewed = views.with_page_inputs(derived.table(spark, d, "pages"), "inputs", F.col("html"), F.col("url"))
+    inputs = views.exploded(viewed, ["page_id"], F.col("inputs"))
     return inputs.where(F.col("kind").isin("title", "heading", "url_signal")).select(
         "page_id", "kind", "text", F.round(F.col("weight").cast("double"), 3).alias("weight")
     )

@@ -7,6 +7,7 @@ stored are not written again, so a batch that is replayed adds nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,30 +56,30 @@ def matched_pages(chain: DataFrame, rules: DataFrame) -> DataFrame:
     return found.join(about, "page_key")
 
 
+def _cut(df: DataFrame, root: str, name: str) -> DataFrame:
+    """``df`` written beside the sink and read back: short plans, and nothing to redo when an executor is lost."""
+    path = f"{root}/_work/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ingest(spark: SparkSession, batch: DataFrame, root: str, sources: DataFrame, rules: DataFrame) -> None:
     """Take in one batch: refuse, chain, match, and write what is new. Pointers are written last."""
-    judged = pages.classified(batch, sources).persist()
-    chain = candidates = conflicts = None
-    try:
-        good, rejected = pages.admitted(judged)
-        chain = pages.revision_chain(pages.arrivals(good), known=known_revisions(spark, root)).persist()
-        candidates = match.reverse_candidates(matched_pages(chain, rules), F.col("fetched_at")).persist()
-        inserted, _, conflicts = match.merge_candidates(candidates, stored(spark, root, "match_candidates"), match.REVERSE_EVIDENCE)
-        conflicts = conflicts.persist()
-        fresh = match.without_conflicted_pages(pages.new_revisions(chain), conflicts)
-        write_table(match.without_conflicted_pages(inserted, conflicts), root, "match_candidates")
-        write_table(fresh, root, "page_revisions")
-        conflicts.write.mode("append").parquet(f"{root}/candidate_conflicts")
-        rejected.select("seq", "tenant_id", "source_id", "url", "reject_reason").write.mode("append").parquet(f"{root}/rejected_fetches")
-        seen = stored(spark, root, "page_pointers").select("page_id", "seq")
-        pointers = match.without_conflicted_pages(chain, conflicts).join(seen, ["page_id", "seq"], "left_anti")
-        pointers.select(
-            "page_id", "revision_id", "seq", "fetched_at", "tenant_id", "source_id", "canonical_url"
-        ).write.mode("append").parquet(f"{root}/page_pointers")
-    finally:
-        for held in (judged, chain, candidates, conflicts):
-            if held is not None:
-                held.unpersist()
+    good, rejected = pages.admitted(_cut(pages.classified(batch, sources), root, "judged"))
+    chain = _cut(pages.revision_chain(pages.arrivals(good), known=known_revisions(spark, root)), root, "chain")
+    candidates = _cut(match.reverse_candidates(matched_pages(chain, rules), F.col("fetched_at")), root, "candidates")
+    inserted, _, conflicts = match.merge_candidates(candidates, stored(spark, root, "match_candidates"), match.REVERSE_EVIDENCE)
+    conflicts = _cut(conflicts, root, "conflicts")
+    inserted = _cut(match.without_conflicted_pages(inserted, conflicts), root, "inserted")
+    seen = stored(spark, root, "page_pointers").select("page_id", "seq")
+    pointers = match.without_conflicted_pages(chain, conflicts).join(seen, ["page_id", "seq"], "left_anti")
+    write_table(inserted, root, "match_candidates")
+    write_table(match.without_conflicted_pages(pages.new_revisions(chain), conflicts), root, "page_revisions")
+    conflicts.write.mode("append").parquet(f"{root}/candidate_conflicts")
+    rejected.select("seq", "tenant_id", "source_id", "url", "reject_reason").write.mode("append").parquet(f"{root}/rejected_fetches")
+    pointers.select(
+        "page_id", "revision_id", "seq", "fetched_at", "tenant_id", "source_id", "canonical_url"
+    ).write.mode("append").parquet(f"{root}/page_pointers")
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
