@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import inverted_index, mixing, quality, shards, simhash
+from tidewatch.llm import inverted_index, mixing, near_copies, quality, shards
 from tidewatch.llm.common import materialise, scratch_path
 
 
@@ -18,8 +18,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one of least id."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
