@@ -1,17 +1,19 @@
 """Main text of web pages by nearest-URL differencing.
 
 Pages are cut into text lines at block elements. Within a host, pages follow
-each other by URL path; each page's lines are aligned with its neighbours' by
-longest common subsequence, and shared lines are the site's, not the page's.
-Markup that says what it is (nav, footer, form, advert classes and so on) is
-left out before lines are compared, and lines inside an article or main element
-are the page's own whatever the neighbours hold.
+each other by URL path; each page's lines are aligned with those of three
+neighbours on either side by longest common subsequence, and lines that the
+neighbours share are the site's, not the page's. Markup that says what it is
+(nav, footer, form, advert classes and so on) is left out before lines are
+compared; lines inside an article or main element go only if every neighbour
+has them.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,8 +177,7 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         hashes, sizes = [], []
         for page in batch.column(3):
-            marked, lines = candidates(page.as_py())
-            lines = [] if marked else lines
+            lines = [text for _, text in lines_of(page.as_py())]
             hashes.append([_hash(x) for x in lines])
             sizes.append([len(x) for x in lines])
         yield pa.record_batch(
@@ -188,51 +189,77 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def neighbours(rows: DataFrame) -> DataFrame:
     """(key, lines, sizes, key2, lines2, sizes2): pages that follow each other by path in their host.
 
-    Rows are sorted by range, so a host of any size is spread over tasks; the
-    one table that is ordered whole has a row a partition.
+    Up to ``REACH`` pages back are paired with each page. Rows are sorted by range,
+    so a host of any size is spread over tasks; the one table that is ordered
+    whole has a row a partition.
     """
     placed = materialise(
         rows.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
         .withColumn("at", F.monotonically_increasing_id()),
         "html-order",
     )
-    part = F.shiftright("at", 33)
-    ends = placed.groupBy(part.alias("part")).agg(F.max("at").alias("last"))
-    before = ends.selectExpr("lead(part) over (order by part) as part", "last as before").where("part is not null")
-    linked = placed.withColumn("part", part).join(before, "part", "left").withColumn(
-        "previous", F.when(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) > 0, F.col("at") - 1).otherwise(F.col("before"))
-    )
-    a, b = placed.alias("a"), linked.alias("b")
-    return a.join(b, (F.col("a.at") == F.col("b.previous")) & (F.col("a.host") == F.col("b.host"))).select(
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("part")).agg((F.max(within) + 1).alias("n"))
+    bases = counts.selectExpr("part", "sum(n) over (order by part) - n as base")
+    numbered = placed.withColumn("part", part).join(bases, "part").withColumn("row", F.col("base") + within).drop("part", "base", "at")
+    back = F.explode(F.sequence(F.lit(1), F.lit(REACH)))
+    a, b = numbered.alias("a"), numbered.withColumn("back", back).withColumn("previous", F.col("row") - F.col("back")).alias("b")
+    return a.join(b, (F.col("a.row") == F.col("b.previous")) & (F.col("a.host") == F.col("b.host"))).select(
         "a.key", "a.lines", "a.sizes",
         F.col("b.key").alias("key2"), F.col("b.lines").alias("lines2"), F.col("b.sizes").alias("sizes2"),
     )
 
 
-#: A pair that shares more of either page's text than this is a pair of copies and tells nothing of the site.
+#: Pages on either side with which a page is compared.
+REACH = 3
+#: A pair that shares more of either page's text than this may be a pair of copies; a line that only such pairs share stays.
 COPY_SHARE = 0.6
 
 
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, places = [], []
+        keys, places, copies = [], [], []
         for row in zip(*batch.columns, strict=True):
             key, a, size_a, key2, b, size_b = row
             a, b, size_a, size_b = (x.values.to_numpy() for x in (a, b, size_a, size_b))
             left, right = common_lines(a, b)
-            if left and size_a[left].sum() <= COPY_SHARE * size_a.sum() and size_b[right].sum() <= COPY_SHARE * size_b.sum():
-                keys += [key.as_py(), key2.as_py()]
-                places += [left, right]
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["key", "places"])
+            copy = size_a[left].sum() > COPY_SHARE * size_a.sum() or size_b[right].sum() > COPY_SHARE * size_b.sum()
+            keys += [key.as_py(), key2.as_py()]
+            places += [left, right]
+            copies += [bool(copy)] * 2
+        yield pa.record_batch(
+            [pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(copies, pa.bool_())], names=["key", "places", "copy"]
+        )
+
+
+def site_lines(votes: list[tuple[list[int], bool]]) -> tuple[list[int], list[int]]:
+    """Places of the lines that half of the neighbours share, and of those that all of three or more share.
+
+    ``votes`` has the shared places of each neighbour and whether the two may be
+    copies. A line needs a neighbour that is no copy.
+    """
+    every = Counter(i for places, _ in votes for i in places)
+    told = {i for places, copy in votes if not copy for i in places}
+    n = len(votes)
+    half = sorted(i for i in told if 2 * every[i] >= n)
+    return half, [i for i in half if n >= 3 and every[i] == n]
+
+
+def _site_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [site_lines([(v["places"], v["copy"]) for v in votes.as_py()]) for votes in batch.column(1)]
+        lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+        yield pa.record_batch([batch.column(0), *lists], names=["key", "half", "whole"])
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for page, gone in zip(batch.column(2), batch.column(3), strict=True):
-            _, lines = candidates(page.as_py())
-            gone = set(gone.as_py() or ())
-            texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+        for page, half, whole in zip(*batch.columns[2:], strict=True):
+            lines = lines_of(page.as_py())
+            marked = any(own for own, _ in lines)
+            gone = set((whole if marked else half).as_py() or ())
+            texts.append("\n".join(x for i, (own, x) in enumerate(lines) if own >= marked and i not in gone))
         yield pa.record_batch(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -260,15 +287,15 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), "html",
     )
     lines = slim.mapInArrow(_line_batches, "key long, host string, path string, lines array<long>, sizes array<int>")
-    # Pages that mark their main text are no one's judge: their lines are not compared.
-    open_pages = materialise(lines.where(F.size("lines") > 0), "html-lines").dropDuplicates(["key"])
-    shared = neighbours(open_pages).mapInArrow(_shared_batches, "key long, places array<int>")
-    shared = materialise(
-        shared.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "html-shared"
-    )
+    filled = materialise(lines.where(F.size("lines") > 0), "html-lines").dropDuplicates(["key"])
+    pairs = neighbours(filled).mapInArrow(_shared_batches, "key long, places array<int>, copy boolean")
+    votes = pairs.groupBy("key").agg(F.collect_list(F.struct("places", "copy")).alias("votes"))
+    votes = votes.where(F.exists("votes", lambda v: F.size(v["places"]) > 0))
+    found = votes.mapInArrow(_site_batches, "key long, half array<int>, whole array<int>").where(F.size("half") > 0)
+    shared = materialise(found, "html-shared")
     few = shared.count() <= BROADCAST_PAGES
     joined = keyed.join(F.broadcast(shared) if few else shared, "key", "left")
-    return joined.select("page_id", "url", "html", "places").mapInArrow(
+    return joined.select("page_id", "url", "html", "half", "whole").mapInArrow(
         _text_batches, "page_id long, url string, text string, n_chars long"
     )
 
