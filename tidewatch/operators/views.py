@@ -13,7 +13,7 @@ from ..functions import text
 from ..functions.ids import derived_uuid
 from ..functions.vectors import is_valid, norm, weighted_centroid
 
-MAX_INPUTS, MAX_SENTENCES = 96, 24
+MAX_INPUTS = 96
 WEIGHTS = {
     "title": 1.5, "heading": 1.2, "summary": 1.1, "sentence": 0.7, "keyword": 0.6, "entity": 0.9, "url_signal": 0.5, "document": 1.0,
 }
@@ -36,7 +36,7 @@ def _all(html: Column, pattern: str) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences of a text, cut after . ! ? before a blank; short ones are left out."""
     parts = F.split(text.collapse_whitespace(c), r"(?<=[.!?])\s+")
-    return F.slice(F.filter(parts, lambda s: F.char_length(s) >= 3), 1, MAX_SENTENCES)
+    return F.filter(parts, lambda s: F.char_length(s) >= 3)
 
 
 def url_signals(url: Column) -> Column:
@@ -50,12 +50,13 @@ def with_page_inputs(df: DataFrame, out: str, html: Column, url: Column, content
     """``df`` with an array of (kind, text, weight): title, headings, summary, sentences, keywords, entities, URL words.
 
     A page from which nothing comes gives its content as one document view. Texts
-    are cut at 700 characters, kinds and texts are distinct, and at most 96 stay.
+    are cut at 700 characters, kinds and texts are distinct, and at most 96 stay;
+    sentences take the room that the other kinds leave.
     The cleaned page, its content and its sentences are columns on the way, so
     that what several views use is computed once.
     """
-    names = [f"__{out}_{n}" for n in ("clean", "content", "sentences")]
-    clean, text_of, parted = (F.col(n) for n in names)
+    names = [f"__{out}_{n}" for n in ("clean", "content", "sentences", "before", "after")]
+    clean, text_of, parted, before, after = (F.col(n) for n in names)
     df = df.withColumn(names[0], F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "))
     body = _all(clean, r"(?is)<p\b[^>]*>(.*?)(?=</?p\b|</?article\b|</?div\b|$)")
     df = df.withColumn(names[1], F.array_join(body, " ") if content is None else content)
@@ -66,12 +67,14 @@ def with_page_inputs(df: DataFrame, out: str, html: Column, url: Column, content
             items, lambda x: F.struct(F.lit(kind).alias("kind"), F.left(x, F.lit(text.MAX_TEXT)).alias("text"), F.lit(WEIGHTS[kind]).cast("float").alias("weight"))
         )
 
-    parts = F.concat(
+    first = F.concat(
         tagged("title", F.slice(_all(clean, r"(?is)<title\b[^>]*>(.*?)</title"), 1, 1)),
-        tagged("heading", _all(clean, r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]")),
-        tagged("summary", F.slice(parted, 1, 1)), tagged("sentence", parted), tagged("keyword", text.keywords(text_of)),
-        tagged("entity", text.entities(text_of)), tagged("url_signal", url_signals(url)),
+        tagged("heading", _all(clean, r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]")), tagged("summary", F.slice(parted, 1, 1)),
     )
+    last = F.concat(tagged("keyword", text.keywords(text_of)), tagged("entity", text.entities(text_of)), tagged("url_signal", url_signals(url)))
+    df = df.withColumn(names[3], F.array_distinct(first)).withColumn(names[4], F.array_distinct(last))
+    room = F.greatest(F.lit(MAX_INPUTS) - F.size(before) - F.size(after), F.lit(0))
+    parts = F.concat(before, F.slice(F.array_distinct(tagged("sentence", parted)), F.lit(1), room), after)
     fallback = tagged("document", F.filter(F.array(text.collapse_whitespace(text_of)), lambda x: x != ""))
     df = df.withColumn(out, parts)
     df = df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(fallback))

@@ -240,10 +240,18 @@ def frontier_due(spark: SparkSession, d: str) -> DataFrame:
     return due.select("source_id", "canonical_url", "turn", "priority", "status")
 
 
-def page_views(spark: SparkSession, d: str) -> DataFrame:
+def _page_inputs(spark: SparkSession, d: str) -> DataFrame:
     viewed = views.with_page_inputs(derived.table(spark, d, "pages"), "inputs", F.col("html"), F.col("url"))
-    inputs = views.exploded(viewed, ["page_id"], F.col("inputs"))
-    return inputs.where(F.col("kind").isin("title", "heading", "url_signal")).select(
+    return views.exploded(viewed, ["page_id"], F.col("inputs"))
+
+
+def page_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """The views of all kinds, in order; those that SQL can express are ``page_views`` too."""
+    return _page_inputs(spark, d).select("page_id", "ordinal", "kind", "text", F.round(F.col("weight").cast("double"), 3).alias("weight"))
+
+
+def page_views(spark: SparkSession, d: str) -> DataFrame:
+    return _page_inputs(spark, d).where(F.col("kind").isin("title", "heading", "url_signal")).select(
         "page_id", "kind", "text", F.round(F.col("weight").cast("double"), 3).alias("weight")
     )
 
@@ -326,7 +334,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reverse_match_topk, reverse_match_blocks, similarity_search, similarity_search_page2, historical_match, page_revision_chain, page_current,
         url_policy, content_hash, query_keywords, query_entities, query_inputs, query_input_report, weighted_centroid, source_scope,
         rule_listing_by_principal, active_rule_counts, active_rule_cap, active_rule_cap_with_disable, rule_embedding_upsert, candidate_dedup,
-        candidate_counts, match_keys, event_visibility, immutability_audit, integrity_audit, input_audit, frontier_due, page_views, embedding_sha256,
+        candidate_counts, match_keys, event_visibility, immutability_audit, integrity_audit, input_audit, frontier_due, page_views, page_inputs, embedding_sha256,
         vector_text, principal_claims, query_vectors, streaming_reverse_match,
     )
 }
