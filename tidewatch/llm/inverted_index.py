@@ -15,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import digest_of, documents, materialise, renamed
 
 #: Bytes of text after which a shard is closed. A longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
-#: Benchmark text searched for at once. Larger benchmarks take more blocks.
-BLOCK_BYTES = 4 << 20
+#: Benchmark text searched for at once. Larger benchmarks take more blocks, each a pass over the index.
+BLOCK_BYTES = 8 << 20
 
-INDEX_SCHEMA = (
-    "doc_ids array<long>, starts array<int>, terms array<long>, ends array<int>, gaps array<int>"
-)
+INDEX_SCHEMA = "doc_ids array<{kind}>, starts array<int>, terms array<long>, ends array<int>, gaps array<int>"
+#: Types of ids that an index keeps as they are; other whole numbers are kept as long.
+ID_KINDS = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 _rng = np.random.default_rng(20240229)
 #: A random 64-bit value a byte; a term's hash is a polynomial over these.
@@ -94,39 +94,36 @@ def _shard(ids: list, texts: list[bytes]) -> dict:
     }
 
 
-_INDEX_ARROW = pa.schema(
-    [
-        ("doc_ids", pa.list_(pa.int64())),
-        ("starts", pa.list_(pa.int32())),
-        ("terms", pa.list_(pa.int64())),
-        ("ends", pa.list_(pa.int32())),
-        ("gaps", pa.list_(pa.int32())),
-    ]
-)
-
-
-def _shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids: list = []
-    texts: list[bytes] = []
-    held = 0
-
-    def close() -> pa.RecordBatch:
-        row = _shard(ids, texts)
-        return pa.record_batch(
-            [pa.array([row[f.name]], f.type) for f in _INDEX_ARROW], schema=_INDEX_ARROW
-        )
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            body = text.as_py() or b""
-            if held and held + len(body) > SHARD_BYTES:
-                yield close()
-                ids, texts, held = [], [], 0
-            ids.append(doc_id.as_py())
-            texts.append(body)
-            held += len(body) + 1
-    if ids:
-        yield close()
+def _shard_batches(kind: pa.DataType):
+    schema = pa.schema(
+        [
+            ("doc_ids", pa.list_(kind)), ("starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())),
+            ("ends", pa.list_(pa.int32())), ("gaps", pa.list_(pa.int32())),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list[bytes] = []
+        held = 0
+
+        def close() -> pa.RecordBatch:
+            row = _shard(ids, texts)
+            return pa.record_batch([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                body = text.as_py() or b""
+                if held and held + len(body) > SHARD_BYTES:
+                    yield close()
+                    ids, texts, held = [], [], 0
+                ids.append(doc_id.as_py())
+                texts.append(body)
+                held += len(body) + 1
+        if ids:
+            yield close()
+
+    return run
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -135,20 +132,55 @@ def build_index(docs: DataFrame) -> DataFrame:
     ``starts[i]`` is the shard-wide position of document i's first word and
     ``starts[-1]`` the number of words. The postings of ``terms[j]`` (sorted
     hashes) end at ``ends[j]`` in ``gaps``, which holds a term's first position
-    and then the steps between positions. Null texts have no words.
+    and then the steps between positions. Null texts have no words; ids may be
+    null, repeated, numbers, strings or binary.
     """
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return materialise(slim.mapInArrow(_shard_batches, INDEX_SCHEMA), "positional-index")
+    kind = dict(docs.dtypes)["doc_id"]
+    kind = kind if kind in ID_KINDS else "bigint"
+    slim = docs.select(F.col("doc_id").cast(kind), F.col("text").cast("binary").alias("text"))
+    return materialise(slim.mapInArrow(_shard_batches(ID_KINDS[kind]), INDEX_SCHEMA.format(kind=kind)), "positional-index")
 
 
-def windows_of(text: bytes | None, size: int) -> np.ndarray:
-    """Distinct runs of ``size`` words as rows of term hashes; a shorter text is one run."""
-    terms, _ = term_hashes(np.frombuffer(text or b"", np.uint8))
-    if not len(terms):
-        return np.empty((0, size), np.uint64)
-    if len(terms) < size:
-        return terms[None, :]
-    return np.unique(np.lib.stride_tricks.sliding_window_view(terms, size), axis=0)
+class Block:
+    """The windows of some items: word ``k`` of window ``i`` is ``terms[words[i, k]]``, for k under ``sizes[i]``.
+
+    A window is ``size`` consecutive words of an item; an item of fewer is one window.
+    """
+
+    def __init__(self, items: list[tuple[object, bytes | None]], size: int):
+        flat, owners, rows = [], [], []
+        self.ids = [item for item, _ in items]
+        before = 0
+        for number, (_, text) in enumerate(items):
+            terms, _ = term_hashes(np.frombuffer(text or b"", np.uint8))
+            if not len(terms):
+                continue
+            n = max(len(terms) - size + 1, 1)
+            places = np.minimum(np.arange(n)[:, None] + np.arange(size), len(terms))
+            places[places == len(terms)] = -1
+            rows.append(np.where(places < 0, -1, places + before))
+            before += len(terms)
+            flat.append(terms)
+            owners.append(np.full(n, number))
+        terms = np.concatenate(flat) if flat else np.empty(0, np.uint64)
+        self.terms, of_word = np.unique(terms, return_inverse=True)
+        words = np.concatenate(rows) if rows else np.empty((0, size), np.int64)
+        used = np.where(words < 0, -1, of_word.reshape(-1)[words] if len(terms) else -1)
+        keyed = np.unique(np.column_stack([np.concatenate(owners) if owners else np.empty(0, np.int64), used]), axis=0)
+        self.owners, self.words = keyed[:, 0].astype(np.int32), keyed[:, 1:].astype(np.int32)
+        self.sizes = (self.words >= 0).sum(axis=1)
+
+    def possible(self, terms: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(window, its rows in a shard's terms, their counts) of the windows all of whose words the shard has."""
+        if not len(terms) or not len(self.owners):
+            return
+        row = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
+        known = np.append(terms[row] == self.terms, True)  # the last stands for no word
+        counts = np.diff(ends, prepend=0)
+        for at in range(0, len(self.owners), 1 << 16):
+            for i in np.flatnonzero(known[self.words[at : at + (1 << 16)]].all(axis=1)) + at:
+                rows = row[self.words[i, : self.sizes[i]]]
+                yield int(i), rows, counts[rows]
 
 
 class ShardSearch:
@@ -165,17 +197,12 @@ class ShardSearch:
             found = self.lists[row] = np.cumsum(self.gaps[begin : self.ends[row]], dtype=np.int64)
         return found
 
-    def phrase(self, window: np.ndarray, slop: int = 0) -> np.ndarray:
-        """Shard-wide positions at which the words of ``window`` occur in sequence.
+    def phrase(self, rows: np.ndarray, counts: np.ndarray, slop: int = 0) -> np.ndarray:
+        """Shard-wide positions at which the terms of these rows, with these counts, occur in sequence.
 
         With ``slop`` each word may stand that many places from where the rarest
         word puts it; the position returned is where the phrase would begin.
         """
-        rows = np.searchsorted(self.terms, window)
-        rows[rows == len(self.terms)] = 0
-        if not len(self.terms) or (self.terms[rows] != window).any():
-            return np.empty(0, np.int64)
-        counts = self.ends[rows] - np.where(rows > 0, self.ends[rows - 1], 0)
         order = np.argsort(counts, kind="stable")
         begin = self.positions(int(rows[order[0]])) - order[0]
         for k in order[1:]:
@@ -188,9 +215,9 @@ class ShardSearch:
         return begin
 
 
-def _search_batches(blocks, slop: int):
+def _search_batches(sent, slop: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [(item, [w for w in ws]) for item, ws in blocks.value]
+        block: Block = sent.value
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = {n: batch.column(n)[row].values.to_numpy(zero_copy_only=False) for n in ("starts", "terms", "ends", "gaps")}
@@ -199,36 +226,29 @@ def _search_batches(blocks, slop: int):
                 n_docs = len(starts) - 1
                 shard = ShardSearch(cell["terms"], cell["ends"], cell["gaps"])
                 hit = np.zeros(int(starts[-1]) + 1, np.int32)
-                pairs: list[tuple[np.ndarray, object]] = []
-                for item, windows in items:
-                    seen = []
-                    for window in windows:
-                        begin = shard.phrase(window, slop)
-                        if not len(begin):
-                            continue
-                        begin = begin[begin >= 0]
-                        doc = np.searchsorted(starts, begin, side="right") - 1
-                        whole = begin + len(window) <= starts[np.minimum(doc + 1, n_docs)]
-                        begin, doc = begin[whole], doc[whole]
-                        np.add.at(hit, begin, 1)
-                        np.add.at(hit, begin + len(window), -1)
-                        seen.append(doc)
-                    if seen:
-                        pairs.append((np.unique(np.concatenate(seen)), item))
+                found: list[set] = [set() for _ in range(n_docs)]
+                for window, rows, counts in block.possible(shard.terms, shard.ends):
+                    begin = shard.phrase(rows, counts, slop)
+                    begin = begin[begin >= 0]
+                    doc = np.searchsorted(starts, begin, side="right") - 1
+                    whole = begin + len(rows) <= starts[np.minimum(doc + 1, n_docs)]
+                    begin, doc = begin[whole], doc[whole]
+                    np.add.at(hit, begin, 1)
+                    np.add.at(hit, begin + len(rows), -1)
+                    item = block.ids[block.owners[window]]
+                    if item is not None:
+                        for d in np.unique(doc):
+                            found[d].add(item)
                 covered = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
                 of_doc = np.searchsorted(starts, covered, side="right") - 1
                 bounds = np.searchsorted(of_doc, np.arange(n_docs + 1))
-                found: list[list] = [[] for _ in range(n_docs)]
-                for docs, item in pairs:
-                    for d in docs:
-                        found[d].append(item)
                 local = (covered - starts[of_doc]).astype(np.int32)
                 yield pa.record_batch(
                     [
-                        ids.cast(pa.int64()),
+                        ids.cast(kind),
                         pa.array(np.diff(starts).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(local)),
-                        pa.array(found, pa.list_(pa.string())),
+                        pa.array([sorted(x) for x in found], pa.list_(pa.string())),
                         pa.array([batch.column("shard")[row].as_py()] * n_docs, pa.int64()),
                         pa.array(np.arange(n_docs, dtype=np.int32)),
                     ],
@@ -238,61 +258,62 @@ def _search_batches(blocks, slop: int):
     return run
 
 
-FOUND_SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>, shard long, place int"
+FOUND_SCHEMA = "doc_id {kind}, n_words long, hits array<int>, items array<string>, shard long, place int"
 
 
 def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) -> DataFrame:
     """A row for each indexed document: which of its words are hit and by which items.
 
-    ``items`` has item_id and text. A window is ``size`` consecutive words of an
-    item; an item of fewer words is one window. ``hits`` are the places of the
-    document's words inside any occurrence, ``items`` the sorted ids of the items
-    with an occurrence; ``slop`` over 0 asks for proximity instead of phrases. Items
-    are sent to the shards in blocks of bounded text, and a document's answers
-    to several blocks are merged; items that are null or without words match nothing.
+    ``items`` has item_id and text. ``hits`` are the places of the document's words
+    inside any occurrence of a window, ``items`` the sorted ids of the items with
+    an occurrence; ``slop`` over 0 asks for proximity instead of phrases. Items
+    whose text is null or has no words match nothing; the words of an item without
+    an id are hit, but no id is listed; rows that share an id are one item of
+    several texts. Items are sent to the shards in blocks of bounded text, one at
+    a time, and a document's answers to several blocks are merged.
     """
     spark = index.sparkSession
+    kind = dict(index.dtypes)["doc_ids"][6:-1]
     shards = index.withColumn("shard", F.monotonically_increasing_id())
-    asked = (
-        items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-        .where("item_id IS NOT NULL AND text IS NOT NULL")
+    asked = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    total = asked.agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    n_blocks = -(-total // BLOCK_BYTES) or 1
+    found = []
+    for number in range(n_blocks):
+        part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number)
+        block = Block([(r["item_id"], bytes(r["text"])) for r in part.toLocalIterator()], size)
+        sent = spark.sparkContext.broadcast(block)
+        one = shards.mapInArrow(_search_batches(sent, slop, ID_KINDS[kind]), FOUND_SCHEMA.format(kind=kind))
+        if n_blocks == 1:
+            return one.select("doc_id", "n_words", "hits", "items")
+        found.append(materialise(one, "index-found"))
+        sent.destroy()
+    both = found[0]
+    for one in found[1:]:
+        both = both.unionByName(one)
+    merged = both.groupBy("shard", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    asked = asked.withColumn("bytes", F.length("text") + 64)
-    total = asked.agg(F.sum("bytes"), F.max("bytes")).first()
-    n_blocks = -(-(total[0] or 0) // BLOCK_BYTES) or 1
-    found = None
-    for block in range(n_blocks):
-        part = asked if n_blocks == 1 else asked.where(
-            F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block
-        )
-        wanted = [
-            (r["item_id"], windows_of(bytes(r["text"]), size)) for r in part.select("item_id", "text").toLocalIterator()
-        ]
-        sent = spark.sparkContext.broadcast(wanted)
-        one = shards.mapInArrow(_search_batches(sent, slop), FOUND_SCHEMA)
-        found = one if found is None else found.unionByName(one)
-    if n_blocks > 1:
-        found = found.groupBy("shard", "place").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-            F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.flatten(F.collect_list("items")).alias("items"),
-        )
-    return found.select("doc_id", "n_words", "hits", F.array_sort(F.array_distinct("items")).alias("items"))
+    return merged.select("doc_id", "n_words", "hits", "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs; columns as they are.
 
-    Rows are told apart by doc_id: of rows that share an id, all go if one is hit.
+    Rows are looked up by a SHA-256 of their text, on which alone the answer
+    depends, so repeated and null ids make no difference.
     """
-    hit = (
-        search(build_index(docs), items, size).where(F.size("hits") > 0)
-        .select(F.col("doc_id").alias("__hit")).distinct()
-    )
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    plain, named = renamed(docs)
+    text = F.col(named["text"])
+    index = build_index(plain.select(digest_of(text).alias("doc_id"), text.alias("text")))
+    hit = search(index, items, size).where(F.size("hits") > 0).select(F.col("doc_id").alias("hit")).distinct()
+    return plain.join(materialise(hit, "index-hits"), digest_of(text) == F.col("hit"), "left_anti").toDF(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's words in each row of ``documents``; null and empty texts have none, repeated rows are answered each."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = search(build_index(documents(spark, sf_dir)), items)
     return found.select(

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, documents, materialise
+from .common import WORD_RE, documents, materialise, renamed
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -24,18 +24,17 @@ SHARE = 1.5
 LIMIT = 2
 #: Rows of one size in one source that a single window handles.
 BUCKET_ROWS = 512
-#: Sizes of a source, from the largest, whose rounding is carried on exactly.
-TOP_SIZES = 256
+#: Copies that are gathered before they are added to a source's list, so that a long list is not copied for each.
+LIST_PART = 512
 #: Newton steps stop when every source is this near its target, relatively.
 TOLERANCE = 1e-9
 MAX_STEPS = 60
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each whole text; a null text has none."""
-    return docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size")
-    )
+def sizes(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, source, size) and other columns: words of each whole text; a null text has none."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), *also)
 
 
 def source_targets(
@@ -89,7 +88,8 @@ def balance(counts: DataFrame, targets: DataFrame, limit: int = LIMIT) -> DataFr
     inside a bracket that shrinks around the root, and halve the bracket where a
     step would leave it, so flat stretches of the capped dual do no harm.
     Sources whose target is the cap keep no multiplier: all their rates are the
-    limit.
+    limit. The bracket halves at least every other step, so ``MAX_STEPS`` are
+    enough for doubles; a source that is not met by then is an error.
     """
     per = counts.groupBy("source").agg(
         (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"),
@@ -134,47 +134,43 @@ def balance(counts: DataFrame, targets: DataFrame, limit: int = LIMIT) -> DataFr
             ),
             "mix-state",
         )
-        if state.where("NOT met").limit(1).count() == 0:
-            break
+        if state.where("NOT met").isEmpty():
+            return state.select("source", "lam", "mean")
         state = state.drop("met")
-    return state.select("source", "lam", "mean")
+    raise RuntimeError(f"sources not balanced after {MAX_STEPS} steps")
 
 
-def copies_by_size(rated: DataFrame, limit: int = LIMIT, top: int = TOP_SIZES) -> DataFrame:
+def copies_by_size(rated: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(key, size, n, buckets, copies): copies that all documents of a size take together.
 
-    From the largest size down, each of a source's ``top`` largest sizes takes
-    the copies nearest to its own tokens plus what the sizes before it left over.
-    Smaller sizes are rounded by running sums of their rates.
+    From the largest size down, each size takes the copies nearest to its own
+    tokens plus what the sizes before it left over. A source's distinct sizes are
+    one row here: k of them need k^2 / 2 tokens at least, so they grow with the
+    root of the corpus.
     """
-    down = Window.partitionBy("key").orderBy(F.desc("size"))
-    ranked = rated.withColumn("nth", F.row_number().over(down))
-    large = ranked.where(F.col("nth") <= top).groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "size", "n", "rate", "buckets"))).alias("sizes")
-    )
+    listed = rated.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate", "buckets")), False).alias("sizes"))
+    none = F.array().cast("array<bigint>")
 
     def take(state, x):
         want = x["rate"] * x["n"] * x["size"] + state["carry"]
         k = F.greatest(F.lit(0), F.least(x["n"] * limit, F.round(want / x["size"]).cast("long")))
-        return F.struct((want - k * x["size"]).alias("carry"), F.concat(state["out"], F.array(k)).alias("out"))
+        full = F.size(state["part"]) >= LIST_PART
+        return F.struct(
+            (want - k * x["size"]).alias("carry"),
+            F.concat(F.when(full, none).otherwise(state["part"]), F.array(k)).alias("part"),
+            F.when(full, F.concat(state["out"], F.array(state["part"]))).otherwise(state["out"]).alias("out"),
+        )
 
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<bigint>").alias("out"))
-    large = large.select(
-        "key", F.inline(F.arrays_zip("sizes", F.aggregate("sizes", start, take)["out"].alias("copies")))
-    ).select("key", "sizes.size", "sizes.n", "sizes.buckets", "copies")
-    run = down.rowsBetween(Window.unboundedPreceding, 0)
-    small = ranked.where(F.col("nth") > top).withColumn(
-        "upto", F.floor(F.sum(F.col("n") * F.col("rate")).over(run) + 0.5)
-    )
-    step = F.col("upto") - F.coalesce(F.lag("upto").over(down), F.lit(0))
-    small = small.select(
-        "key", "size", "n", "buckets", F.greatest(F.lit(0), F.least(step, F.col("n") * limit)).alias("copies")
+    start = F.struct(F.lit(0.0).alias("carry"), none.alias("part"), F.array().cast("array<array<bigint>>").alias("out"))
+    taken = F.aggregate("sizes", start, take, lambda state: F.flatten(F.concat(state["out"], F.array(state["part"]))))
+    return listed.select("key", F.inline(F.arrays_zip("sizes", taken.alias("copies")))).select(
+        "key", "sizes.size", "sizes.n", "sizes.buckets", "copies"
     )
-    return large.unionByName(small)
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for each row of ``docs``.
 
@@ -185,8 +181,12 @@ def mix(
     copies. Null sources are one source, the last. Repeated rows are documents
     of their own; no document gets more than ``limit`` copies. A size that many
     documents of a source share is dealt in buckets of about ``BUCKET_ROWS``.
+    ``sized`` may bring (doc_id, source, size, order) of the rows, order telling
+    documents of a size apart in place of the hash of the id.
     """
-    sized = materialise(sizes(docs), "mix-sizes")
+    if sized is None:
+        sized = sizes(docs).withColumn("order", F.xxhash64("doc_id", "source"))
+    sized = materialise(sized, "mix-sizes")
     targets = materialise(source_targets(sized, weights, share, limit), "mix-targets")
     counts = materialise(
         sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts"
@@ -204,9 +204,8 @@ def mix(
     shares = materialise(copies_by_size(rated, limit), "mix-shares")
     # size 0 has no share: its documents stay in bucket 0 and are not ranked.
     placed = (
-        sized.select("doc_id", key(F.col("source")).alias("key"), "size")
+        sized.select("doc_id", key(F.col("source")).alias("key"), "size", "order")
         .join(shares.select("key", "size", "buckets"), ["key", "size"], "left")
-        .withColumn("order", F.xxhash64("doc_id", "key"))
         .withColumn("bucket", F.coalesce(F.pmod(F.xxhash64("order"), F.col("buckets")), F.lit(0)).cast("int"))
         .drop("buckets")
     )
@@ -240,20 +239,25 @@ def mix(
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns as they are.
 
-    Equal rows are one document that takes the copies of all of them together.
+    Rows are numbered in a stored table and told apart by that number alone, so
+    equal ids, null ids and columns of any type or name are left as they are. In
+    a size, rows come in the order of a hash of their content, so reruns agree.
     """
-    hashed = [c for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind]
-    keyed = docs.withColumn("__key", F.xxhash64(*hashed))
-    slim = keyed.select(F.col("__key").alias("doc_id"), "source", "text")
-    copies = mix(slim).groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").alias("__copies"))
-    rows = keyed.groupBy("__key").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns])
-    taken = rows.join(copies.where("__copies > 0"), "__key")
-    return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
+    plain, named = renamed(docs)
+    rows = materialise(plain.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    hashed = [name for name, kind in plain.dtypes if "map<" not in kind and "variant" not in kind]
+    slim = rows.select(
+        F.col("row").alias("doc_id"), F.col(named["source"]).alias("source"), F.col(named["text"]).alias("text"),
+        F.xxhash64(*hashed).alias("order"),
     )
+    sized = sizes(slim, "order")
+    copies = mix(rows, sized=sized).where("copies > 0").select(F.col("doc_id").alias("row"), "copies")
+    taken = rows.join(copies, "row").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return taken.select(*plain.columns).toDF(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each row of ``documents``; null and empty texts 0 times, a null source is the last source."""
     mixed = mix(documents(spark, sf_dir))
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"

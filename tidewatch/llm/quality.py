@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, documents, materialise
@@ -29,8 +29,8 @@ RATE = 4.0
 GOOD = 0.7
 #: Distances, in words, at which a repeated word is a feature.
 LAGS = 24
-#: Bytes of text whose features are hashed at once.
-CHUNK = 4 << 20
+#: Bytes of text whose features are hashed at once: about a hundred times as much memory.
+CHUNK = 1 << 20
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -141,86 +141,82 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
     """Weights learned from at most ``sample_rows`` labelled rows that are not held out.
 
     The sample is the labelled ids of least hash; its bound is the only one that
-    this operator has, and one task trains on it. Labels that are null, repeated
-    or for absent documents are passed over. Without labels all scores are 0.5.
+    this operator has, and one task trains on it. Labels that are null or for
+    absent documents are passed over; of repeated labels the lower counts, and of
+    rows that share an id the text of least hash. Without labels all scores are 0.5.
     """
     chosen = (
         labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(crc_of_id(F.col("doc_id")) % 4 != 2)
         .groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").cast("int").alias("__label"))
         .orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     )
-    rows = docs.join(chosen, F.col("doc_id") == F.col("__id")).select(
-        F.col("text").cast("binary").alias("text"), "__label", "doc_id"
-    ).dropDuplicates(["doc_id"]).select("text", "__label", "doc_id")
-    bags = materialise(
-        rows.select("text", "__label").mapInArrow(_bags, "ids array<int>, share array<float>, label int"), "quality-bags"
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = (
+        docs.select(F.col("doc_id"), text.alias("text")).join(chosen, F.col("doc_id") == F.col("__id"))
+        .groupBy("__id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"), F.min("__label").alias("label"))
+        .select("least.text", "label")
     )
+    bags = materialise(rows.mapInArrow(_bags, "ids array<int>, share array<float>, label int"), "quality-bags")
     # Ties are broken by content so that the order of training is the same in every run.
     ordered = bags.orderBy(F.xxhash64("ids", "label")).coalesce(1)
     row = ordered.mapInArrow(_train_batches, "weights array<float>").first()
     return np.array(row["weights"], np.float64) if row else np.zeros(BUCKETS + 1)
 
 
-def _score_batches(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
-        bias = weights[-1]
+def scores_of(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """The chance of label 1 of each text: the average of its features' weights and the bias, as a logistic."""
+    total, count = np.zeros(len(texts)), np.zeros(len(texts))
+    group: list[bytes] = []
+    owner: list[int] = []
+    held = 0
+
+    def add() -> None:
+        bucket, number = features(group)
+        np.add.at(total, owner, np.bincount(number, weights[bucket], len(group)))
+        np.add.at(count, owner, np.bincount(number, minlength=len(group)))
+
+    for i, text in enumerate(texts):
+        for piece in _pieces(text):
+            if group and held + len(piece) > CHUNK:
+                add()
+                group, owner, held = [], [], 0
+            group.append(piece)
+            owner.append(i)
+            held += len(piece)
+    if group:
+        add()
+    return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + weights[-1])))
+
+
+def score_column(docs: DataFrame, weights: np.ndarray) -> Column:
+    """The score of each row's text as a column: only the text goes to Python, the row stays where it is."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column("text")]
-            total = np.zeros(len(texts))
-            count = np.zeros(len(texts))
-            group: list[bytes] = []
-            owner: list[int] = []
-            held = 0
-
-            def add(group: list[bytes], owner: list[int], total=total, count=count) -> None:
-                bucket, number = features(group)
-                n = len(group)
-                np.add.at(total, owner, np.bincount(number, weights[bucket], n))
-                np.add.at(count, owner, np.bincount(number, minlength=n))
-
-            for i, text in enumerate(texts):
-                for piece in _pieces(text):
-                    group.append(piece)
-                    owner.append(i)
-                    held += len(piece)
-                    if held >= CHUNK:
-                        add(group, owner)
-                        group, owner, held = [], [], 0
-            if group:
-                add(group, owner)
-            z = total / np.maximum(count, 1) + bias
-            rest = [batch.column(n) for n in batch.schema.names if n != "text"]
-            yield pa.record_batch(
-                [*rest, pa.array(1 / (1 + np.exp(-z)))], names=[*[n for n in batch.schema.names if n != "text"], "score"]
-            )
-
-    return run
+            yield pa.array(scores_of([x.as_py() or b"" for x in batch], sent.value))
+
+    return scored(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score) for each row: the chance of label 1. Null and empty texts get the prior's."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(_score_batches(sent), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), score_column(docs, weights).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, good: float = GOOD) -> DataFrame:
     """The rows of ``docs`` whose text scores ``good`` or more; columns as they are.
 
-    A row goes if the least score of the rows with its doc_id is lower. Without
-    labels to learn from all rows stay.
+    Each row is judged by its own text, so repeated and null ids and clashing
+    names make no difference. Without labels to learn from all rows stay.
     """
     weights = fit(docs, labels)
-    if not weights.any():
-        return docs
-    poor = (
-        score(docs, weights).where(F.col("score") < good).select(F.col("doc_id").alias("__poor")).distinct()
-    )
-    return docs.join(poor, F.col("doc_id").eqNullSafe(F.col("__poor")), "left_anti")
+    return docs.where(score_column(docs, weights) >= good) if weights.any() else docs
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each row of ``documents``; null and empty texts get the prior's, repeated rows equal scores."""
     docs = documents(spark, sf_dir)
     weights = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, weights).select(

@@ -26,27 +26,35 @@ LOW_BITS = 0x5555555555555555
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a text, unsigned.
+def shingle_hashes(text: bytes | None, width: int = 3) -> np.ndarray:
+    """XXH64 of each word shingle of a text, repeats included.
 
-    No words give 0; fewer words than ``width`` are one shingle.
+    No words give none; fewer words than ``width`` are one shingle.
     """
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     shingles = (
         map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
         if len(words) >= width
         else iter([b" ".join(words)])
     )
-    total = max(len(words) - width + 1, 1)
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), "<u8", total)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), "<u8", max(len(words) - width + 1, 1))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, unsigned; 0 for no hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, total, CHUNK):
+    for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK]
         bits = np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64)
         ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """64-bit SimHash of the word shingles of a text, unsigned."""
+    return majority_bits(shingle_hashes(text, width))
 
 
 def _fingerprint_batches(width: int):
@@ -237,22 +245,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its near-duplicate group, once an id.
-
-    Columns are left as they are. Of rows that share a doc_id one is kept.
-    """
-    keep = (
-        near_duplicates(docs, width, distance)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__kept"))
-        .distinct()
-    )
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``documents`` with its fingerprint and group; null and empty texts are one group, repeated rows stay."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
