@@ -10,18 +10,22 @@ sys.path.insert(0, __file__.rpartition("/")[0])
 from compare import assert_equal  # noqa: E402
 
 from tidewatch.operators import match, pages  # noqa: E402
-from tidewatch.plans import alerting, alerting_sql  # noqa: E402
+from tidewatch.plans import alerting, alerting_sql, records, records_sql  # noqa: E402
 from tidewatch.sources import schemas  # noqa: E402
 from tidewatch.streaming import reverse  # noqa: E402
 
 
+QUERIES = {**alerting.QUERIES, **records.QUERIES}
+ORACLES = {**alerting_sql.ORACLES, **records_sql.ORACLES}
+
+
 def test_every_sql_has_its_query():
-    assert set(alerting_sql.ORACLES) <= set(alerting.QUERIES)
+    assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(alerting_sql.ORACLES) - {"streaming_reverse_match"}))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"streaming_reverse_match"}))
 def test_query_equals_sql(spark, sf, name):
-    assert_equal(alerting.QUERIES[name](spark, sf), alerting_sql.ORACLES[name], sf)
+    assert_equal(QUERIES[name](spark, sf), ORACLES[name], sf)
 
 
 def test_rows_only_queries(spark, sf):

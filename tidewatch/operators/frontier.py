@@ -1,10 +1,12 @@
-"""The crawl frontier: one row a URL, what is due, and newest-first listings."""
+"""The crawl frontier: one row a URL, what is due, and newest-first listings of a bounded size."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rules import LISTING, newest
+
 KEY = ["tenant_id", "source_id", "canonical_url"]
 DUE = ("pending", "failed")
 
@@ -27,13 +29,13 @@ def due(queue: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     return ready.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= F.col("max_pages_per_run"))
 
 
-def newest_pages(pages: DataFrame) -> DataFrame:
-    return pages.orderBy(F.desc("last_seen_at"), "page_id")
+def newest_pages(pages: DataFrame, limit: int = LISTING) -> DataFrame:
+    return newest(pages, ["tenant_id"], "last_seen_at", "page_id", limit)
 
 
-def newest_revisions(revisions: DataFrame) -> DataFrame:
-    return revisions.orderBy(F.desc("fetched_at"), "revision_id")
+def newest_revisions(revisions: DataFrame, limit: int = LISTING) -> DataFrame:
+    return newest(revisions, ["tenant_id"], "fetched_at", "revision_id", limit)
 
 
-def newest_candidates(candidates: DataFrame) -> DataFrame:
-    return candidates.orderBy(F.desc("created_at"), "candidate_id")
+def newest_candidates(candidates: DataFrame, limit: int = LISTING) -> DataFrame:
+    return newest(candidates, ["tenant_id"], "created_at", "candidate_id", limit)

@@ -33,7 +33,9 @@ def classified(fetches: DataFrame, sources: DataFrame) -> DataFrame:
     """Fetches with canonical URLs and ``reject_reason``, which is null for good ones.
 
     A fetch is refused if its source is unknown in its tenant or disabled, if
-    either of its URLs is outside the source's policy, or if a field is.
+    either of its URLs is outside the source's policy, or if a field is. Where the
+    feed has route_source_id, the source that the request was sent for, it is
+    refused first of all if it names another one itself.
     """
     s = sources.select(
         "tenant_id", "source_id", "allowed_hosts", "include_subdomains", "allowed_path_prefixes", F.col("enabled").alias("source_enabled")
@@ -42,8 +44,9 @@ def classified(fetches: DataFrame, sources: DataFrame) -> DataFrame:
     policy = (F.col("allowed_hosts"), F.col("include_subdomains"), F.col("allowed_path_prefixes"))
     joined = with_canonical_url(joined, "first", F.col("url"), *policy)
     joined = with_canonical_url(joined, "last", F.col("final_url"), *policy)
+    routed = F.col("route_source_id").eqNullSafe(F.col("source_id")) if "route_source_id" in fetches.columns else F.lit(True)
     reason = (
-        F.when(F.col("source_enabled").isNull(), "unknown_source").when(~F.col("source_enabled"), "source_disabled")
+        F.when(~routed, "source_mismatch").when(F.col("source_enabled").isNull(), "unknown_source").when(~F.col("source_enabled"), "source_disabled")
         .otherwise(F.coalesce(F.get(fetch_errors(), F.lit(0)), F.col("first.reject_reason"), F.col("last.reject_reason")))
     )
     return joined.select(
