@@ -28,7 +28,7 @@ def matches(spark, page_rows, rule_rows, how=match.reverse_match):
 
 def test_threshold_before_top_k(spark):
     rule_rows = [rule("A", [0.95, 0.3122499], 0.99), rule("B", [0.90, 0.4358899], 0.85)]
-    for how in (match.reverse_match, match.reverse_match_blocks):
+    for how in (match.reverse_match, match.reverse_match_join):
         assert matches(spark, [page(limit=1)], rule_rows, how) == [("p", "B", 1)]
 
 
@@ -39,7 +39,7 @@ def test_isolation(spark):
         rule("version", [1.0, 0.0], version="v2"), rule("mine", [1.0, 0.0], filters=["source:s"]), rule("nan", [nan, 0.0]), rule("zero", [0.0, 0.0]),
     ]
     want = [("p", "mine", 1), ("p", "ok", 2)]
-    for how in (match.reverse_match, match.reverse_match_blocks):
+    for how in (match.reverse_match, match.reverse_match_join):
         assert matches(spark, [page()], rule_rows, how) == want
     assert matches(spark, [page()], []) == []
 
@@ -48,7 +48,7 @@ def test_small_blocks_equal_one(spark, sf):
     p = alerting.derived.page_vectors(spark, sf, 5)
     r = alerting._rule_vectors(spark, sf)
     show = lambda df: sorted((x.page_key, x.alert_embedding_id, x["rank"]) for x in df.collect())
-    assert show(match.reverse_match(p, r)) == show(match.reverse_match_blocks(p, r, block_bytes=2000))
+    assert show(match.reverse_match(p, r)) == show(match.reverse_match_join(p, r))
 
 
 def at(minute):

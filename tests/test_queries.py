@@ -50,19 +50,35 @@ def tables(spark, root):
     )
 
 
-def test_batches_equal_one_batch_and_a_rerun_adds_nothing(spark, sf, tmp_path):
+def test_batches_equal_one_batch_and_a_rerun_adds_nothing(spark, sf, tmp_path, monkeypatch):
     fetches, sources = feed(spark, sf)
     fetches = fetches.cache()
     rules = alerting._rule_vectors(spark, sf).cache()
     one, two = f"{tmp_path}/one", f"{tmp_path}/two"
     reverse.ingest(spark, fetches, one, sources, rules)
-    for half in ("seq < 1000", "seq >= 1000"):
-        reverse.ingest(spark, fetches.where(half), two, sources, rules)
+    halves = [fetches.where("seq < 1000"), fetches.where("seq >= 1000")]
+    for n, half in enumerate(halves):
+        reverse.ingest(spark, half, two, sources, rules, n)
     first = tables(spark, two)
     assert first == tables(spark, one) and first[0]
-    reverse.ingest(spark, fetches.where("seq >= 1000"), two, sources, rules)
-    assert tables(spark, two) == first
-    rejected = spark.read.parquet(f"{one}/rejected_fetches").collect()
+    everything = lambda: {t: sorted(map(repr, reverse.stored(spark, two, t).collect())) for t in reverse.TABLES}
+    before = everything()
+    publish = reverse.publish
+
+    def failing(rows, root, table, batch_id):
+        if table == "rejected_fetches":
+            raise OSError("lost")
+        publish(rows, root, table, batch_id)
+
+    monkeypatch.setattr(reverse, "publish", failing)
+    with pytest.raises(OSError, match="lost"):
+        reverse.ingest(spark, halves[1], two, sources, rules, 1)
+    monkeypatch.setattr(reverse, "publish", publish)
+    for n, half in enumerate(halves):
+        reverse.ingest(spark, half, two, sources, rules, n)
+        assert everything() == before
+    assert not list((tmp_path / "two" / "_work").glob("*"))
+    rejected = reverse.stored(spark, one, "rejected_fetches").collect()
     assert [(r.seq, r.reject_reason) for r in rejected] == [(5000, "host_not_allowed")]
 
 

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scope
 from ..functions.ids import derived_uuid, match_key
 from ..functions.vectors import cosine_similarity, is_finite
-from . import search
+from . import product, search
 
 SPACE = ["model", "model_version", "dimensions", "normalization"]
 MAX_CANDIDATES = 500
-#: Bytes of rule vectors that one block of the matrix path holds; blocks are dealt to tasks by a shuffle.
-BLOCK_BYTES = 8 << 20
 
 
 def active_rules(rules: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -52,99 +46,43 @@ def _ranked(pairs: DataFrame, key: str) -> DataFrame:
     return top.where(F.col("rank") <= F.col("max_candidates"))
 
 
-def reverse_match(pages: DataFrame, rules: DataFrame, key: str = "page_key") -> DataFrame:
+def _admitted_pairs(met: DataFrame, key: str) -> DataFrame:
+    """Ranked pairs of pages and rules that meet: the rule admits the source and the exact similarity reaches its threshold."""
+    pairs = met.where(scope.admits(F.col("source_filters"), F.col("source_id"))).select(
+        key, "tenant_id", "source_id", "max_candidates", *SPACE, "alert_rule_id", "alert_rule_revision_id", "alert_embedding_id",
+        F.col("similarity_threshold").cast("double").alias("threshold"), cosine_similarity(F.col("page_vector"), F.col("rule_vector")).alias("similarity"),
+    )
+    pairs = pairs.where(is_finite(F.col("similarity")) & (F.col("similarity") >= F.col("threshold")))
+    return _ranked(pairs.withColumn("distance", 1.0 - F.col("similarity")), key)
+
+
+RULE = ["alert_embedding_id", "alert_rule_id", "alert_rule_revision_id", "similarity_threshold", "source_filters", "rule_vector"]
+
+
+def reverse_match(pages: DataFrame, rules: DataFrame, key: str = "page_key", block_bytes: int = product.BLOCK_BYTES) -> DataFrame:
     """Each page vector against all rule vectors of its tenant and model space.
 
     ``pages`` has ``key``, tenant_id, source_id, the model space, page_vector and
     max_candidates; ``rules`` as from ``rule_vectors``. A pair counts if the rule
     admits the source and the similarity is a finite number that reaches the
-    rule's own single-precision threshold; only then is the nearest kept.
+    rule's own single-precision threshold; only then is the nearest kept. Blocks of
+    pages and rules are multiplied to propose pairs, which the exact expression
+    then decides.
     """
-    p, r = pages.alias("p"), rules.alias("r")
-    same = [F.col(f"p.{c}") == F.col(f"r.{c}") for c in ("tenant_id", *SPACE)]
-    pairs = p.join(r, [*same, scope.admits(F.col("r.source_filters"), F.col("p.source_id"))]).select(
-        f"p.{key}", "p.tenant_id", "p.source_id", "p.max_candidates", *[f"p.{c}" for c in SPACE],
-        "r.alert_rule_id", "r.alert_rule_revision_id", "r.alert_embedding_id",
-        F.col("r.similarity_threshold").cast("double").alias("threshold"),
-        cosine_similarity(F.col("p.page_vector"), F.col("r.rule_vector")).alias("similarity"),
+    space = ["tenant_id", *SPACE]
+    near = product.near_pairs(
+        pages.select(*space, F.col(key).alias("l"), F.col("page_vector").alias("v")),
+        rules.select(*space, F.col("alert_embedding_id").alias("r"), F.col("rule_vector").alias("v"), F.col("similarity_threshold").alias("floor")),
+        space, block_bytes,
     )
-    pairs = pairs.where(is_finite(F.col("similarity")) & (F.col("similarity") >= F.col("threshold")))
-    return _ranked(pairs.withColumn("distance", 1.0 - F.col("similarity")), key)
-
+    near = near.select(F.col("l").alias(key), F.col("r").alias("alert_embedding_id"))
+    return _admitted_pairs(near.join(rules.select(*RULE), "alert_embedding_id").join(pages, key), key)
 
-def rule_blocks(rules: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rules of a tenant and model space in blocks of bounded size: (tenant, space, block, blocks, rules).
 
-    Blocks are cut by a hash of the rule, so one tenant with most rules fills many.
-    """
-    key = ["tenant_id", *SPACE]
-    size = rules.groupBy(*key).agg(F.count("*").alias("n"))
-    per = F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / (F.col("dimensions") * 8 + 128)))
-    size = size.select(*key, F.ceil(F.col("n") / per).cast("int").alias("blocks"))
-    cut = rules.join(size, key).withColumn("block", F.pmod(F.xxhash64("alert_embedding_id"), F.col("blocks")).cast("int"))
-    row = F.struct("alert_embedding_id", "alert_rule_id", "alert_rule_revision_id", F.col("similarity_threshold").cast("double").alias("threshold"), "source_filters", "rule_vector")
-    return cut.groupBy(*key, "block", "blocks").agg(F.collect_list(row).alias("rules"))
-
-
-def _units(vectors: list) -> np.ndarray:
-    v = np.array(vectors, np.float64)
-    length = np.sqrt((v * v).sum(axis=1, keepdims=True))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(length > 0, v / length, np.nan)
-
-
-def _block_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scores of pages against the block of rules that their row carries once a batch."""
-    for batch in batches:
-        vectors = batch.column("page_vector").to_pylist()
-        blocks = batch.column("rules")
-        keys = batch.column("block_id").to_pylist()
-        at = 0
-        while at < batch.num_rows:
-            end = at
-            while end < batch.num_rows and keys[end] == keys[at]:
-                end += 1
-            rules = blocks[at].as_py()
-            size = len(vectors[at]) if vectors[at] else 0
-            usable = [i for i in range(at, end) if vectors[i] is not None and len(vectors[i]) == size]
-            fit = [j for j, r in enumerate(rules) if len(r["rule_vector"]) == size]
-            if usable and fit:
-                scores = _units([vectors[i] for i in usable]) @ _units([rules[j]["rule_vector"] for j in fit]).T
-                floor = np.array([rules[j]["threshold"] for j in fit])
-                rows, cols = np.nonzero(np.isfinite(scores) & (scores >= floor - 1e-9))
-                yield pa.record_batch(
-                    [
-                        batch.column("page_key").take(pa.array([usable[i] for i in rows], pa.int64())),
-                        pa.array([rules[fit[j]]["alert_embedding_id"] for j in cols], pa.string()),
-                    ],
-                    names=["page_key", "alert_embedding_id"],
-                )
-            at = end
-
-
-def reverse_match_blocks(pages: DataFrame, rules: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``reverse_match`` by one matrix product for each batch of pages and block of rules.
-
-    The product proposes pairs a hair below their threshold; the exact expression
-    then decides, so both paths give the same rows. Pages are copied once for each
-    block of their space, and blocks meet them by a shuffled join.
-    """
-    key = ["tenant_id", *SPACE]
-    blocks = rule_blocks(rules, block_bytes)
-    count = blocks.groupBy(*key).agg(F.max("blocks").alias("blocks"))
-    slim = pages.select("page_key", "page_vector", *key).join(count, key)
-    slim = slim.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    met = slim.join(blocks.drop("blocks"), [*key, "block"]).select(
-        "page_key", "page_vector", "rules", F.concat_ws("|", *key, "block").alias("block_id")
-    )
-    pairs = met.mapInArrow(_block_scores, "page_key string, alert_embedding_id string")
-    r = rules.select("alert_embedding_id", "alert_rule_id", "alert_rule_revision_id", "similarity_threshold", "source_filters", "rule_vector")
-    full = pairs.join(r, "alert_embedding_id").join(pages, "page_key").where(scope.admits(F.col("source_filters"), F.col("source_id")))
-    full = full.select(
-        "page_key", "tenant_id", "source_id", "max_candidates", *SPACE, "alert_rule_id", "alert_rule_revision_id", "alert_embedding_id",
-        F.col("similarity_threshold").cast("double").alias("threshold"), cosine_similarity(F.col("page_vector"), F.col("rule_vector")).alias("similarity"),
-    ).where(F.col("similarity") >= F.col("threshold"))
-    return _ranked(full.withColumn("distance", 1.0 - F.col("similarity")), "page_key")
+def reverse_match_join(pages: DataFrame, rules: DataFrame, key: str = "page_key") -> DataFrame:
+    """``reverse_match`` as one join, for few pages or rules: every pair of a space is computed by expressions alone."""
+    space = ["tenant_id", *SPACE]
+    return _admitted_pairs(pages.join(rules.select(*space, *RULE), space), key)
 
 
 def historical_match(items: DataFrame, rules: DataFrame, limit: int, requested_threshold: float = 0.0) -> DataFrame:

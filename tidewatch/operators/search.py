@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import excerpt
 from ..functions.vectors import cosine_similarity, is_finite
+from . import product
 
 SPACE = ["model", "model_version", "dimensions", "normalization"]
 HIT = [
@@ -33,15 +34,21 @@ def scored(items: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``queries`` has query_id, tenant_id, the model space, vector, min_similarity,
     source_ids and optionally cursor_distance and cursor_id. All filters come
-    before any ranking. A similarity that is not a finite number is no hit.
+    before any ranking. A similarity that is not a finite number is no hit. Blocks
+    of items and queries are multiplied to propose hits, which the exact expression
+    then decides; embedding_id and query_id tell rows apart.
     """
     for name, kind in (("cursor_distance", "double"), ("cursor_id", "string")):
         if name not in queries.columns:
             queries = queries.withColumn(name, F.lit(None).cast(kind))
-    i, q = items.alias("i"), queries.alias("q")
-    same = [F.col(f"i.{c}") == F.col(f"q.{c}") for c in ("tenant_id", *SPACE)]
+    space = ["tenant_id", *SPACE]
+    near = product.near_pairs(
+        items.select(*space, F.col("embedding_id").alias("l"), F.col("embedding").alias("v")),
+        queries.select(*space, F.col("query_id").alias("r"), F.col("vector").alias("v"), F.col("min_similarity").alias("floor")), space,
+    )
+    i, q, n = items.alias("i"), queries.alias("q"), near.alias("n")
     inside = (F.size("q.source_ids") == 0) | F.array_contains("q.source_ids", F.col("i.source_id"))
-    out = i.join(q, [*same, inside]).select(
+    out = n.join(q, F.col("n.r") == F.col("q.query_id")).join(i, F.col("n.l") == F.col("i.embedding_id")).where(inside).select(
         "q.query_id", "q.min_similarity", "q.cursor_distance", "q.cursor_id", "i.*",
         cosine_similarity(F.col("i.embedding"), F.col("q.vector")).alias("similarity"),
     )

@@ -14,7 +14,7 @@ from ..functions import scope, text, urls, vectors
 from ..functions.ids import match_key, uuid_of
 from ..operators import access, audit, frontier, match, pages, rules, search, views
 from ..sources import derived
-from ..sources.schemas import SCHEMAS
+from ..sources.schemas import stream_feed
 from ..sources.scratch import scratch_path
 from ..streaming import reverse
 
@@ -46,7 +46,12 @@ def reverse_match_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reverse_match_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _shown_matches(_matches(spark, d, match.reverse_match_blocks))
+    """The same with blocks so small that a space has many on either side."""
+    return _shown_matches(_matches(spark, d, lambda p, r: match.reverse_match(p, r, block_bytes=1 << 14)))
+
+
+def reverse_match_joined(spark: SparkSession, d: str) -> DataFrame:
+    return _shown_matches(_matches(spark, d, match.reverse_match_join))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +327,7 @@ def streaming_reverse_match(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "stream")
     fetches, sources = _feed(spark, d)
     fetches.repartition(2, "seq").write.json(f"{root}/feed")
-    feed = spark.readStream.schema(SCHEMAS["fetches"]).option("maxFilesPerTrigger", 1).json(f"{root}/feed")
+    feed = stream_feed(spark, f"{root}/feed", files_per_batch=1)
     reverse.start(feed, f"{root}/out", f"{root}/checkpoint", sources, lambda: _rule_vectors(spark, d)).awaitTermination()
     found = reverse.stored(spark, f"{root}/out", "match_candidates")
     return found.select("tenant_id", "alert_rule_id", "alert_embedding_id", F.round("similarity", 6).alias("similarity"), "threshold")
@@ -331,7 +336,7 @@ def streaming_reverse_match(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        reverse_match_topk, reverse_match_blocks, similarity_search, similarity_search_page2, historical_match, page_revision_chain, page_current,
+        reverse_match_topk, reverse_match_blocks, reverse_match_joined, similarity_search, similarity_search_page2, historical_match, page_revision_chain, page_current,
         url_policy, content_hash, query_keywords, query_entities, query_inputs, query_input_report, weighted_centroid, source_scope,
         rule_listing_by_principal, active_rule_counts, active_rule_cap, active_rule_cap_with_disable, rule_embedding_upsert, candidate_dedup,
         candidate_counts, match_keys, event_visibility, immutability_audit, integrity_audit, input_audit, frontier_due, page_views, page_inputs, embedding_sha256,

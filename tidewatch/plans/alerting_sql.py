@@ -230,6 +230,7 @@ SELECT {uid(1, 'n % 3')} AS tenant_id, CAST(n AS VARCHAR) AS subject, CASE WHEN
 ORACLES: dict[str, str] = {
     "reverse_match_topk": REVERSE,
     "reverse_match_blocks": REVERSE,
+    "reverse_match_joined": REVERSE,
     "similarity_search": search_page(1),
     "similarity_search_page2": search_page(2),
     "historical_match": HISTORICAL,

@@ -1,13 +1,14 @@
 """Reverse matching of a page feed in micro-batches.
 
-Each batch is taken in by the batch operators against the stored tables and
-published under its batch id. Rows follow from keys alone and rows already
-stored are not written again, so a batch that is replayed adds nothing.
+Each batch is taken in by the batch operators against what earlier batches have
+stored. A batch owns one folder of each table and writes it anew, and reads only
+folders of earlier batches, so a batch that is replayed, after a failure between
+any two writes too, leaves all tables as they were. Within a batch rows are laid
+out in buckets of their key; a batch reads the buckets that its own keys fall in.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,27 +18,58 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.vectors import embedding_sha256
 from ..operators import access, match, pages
-from ..sources.schemas import struct, write_table
+from ..sources.schemas import SCHEMAS, struct
 
-TABLES = ("page_revisions", "match_candidates", "page_pointers", "candidate_conflicts", "rejected_fetches")
-POINTERS = "page_id string, revision_id string, seq bigint, fetched_at timestamp, tenant_id string, source_id string, canonical_url string"
+#: Tables of the sink and the column whose hash is a row's bucket.
+TABLES = {
+    "page_revisions": "page_id", "match_candidates": "canonical_match_key", "page_pointers": "page_id", "candidate_conflicts": "canonical_match_key",
+    "rejected_fetches": "seq",
+}
+BUCKETS = 16
+COLUMNS = {
+    "page_pointers": "page_id string, revision_id string, seq bigint, fetched_at timestamp, tenant_id string, source_id string, canonical_url string",
+    "rejected_fetches": "seq bigint, tenant_id string, source_id string, url string, reject_reason string",
+    "candidate_conflicts": SCHEMAS["match_candidates"], "page_revisions": SCHEMAS["page_revisions"], "match_candidates": SCHEMAS["match_candidates"],
+}
 
 
-def stored(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A table of the sink; empty before anything was written."""
-    schema = POINTERS if table == "page_pointers" else struct(table)
+def bucket_of(table: str) -> Column:
+    return F.pmod(F.xxhash64(TABLES[table]), F.lit(BUCKETS)).cast("int")
+
+
+def stored(spark: SparkSession, root: str, table: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """A table of the sink; empty before anything was written.
+
+    ``before`` leaves out that batch and later ones; ``keys`` has the column that
+    buckets go by, and only buckets with one of its rows are read.
+    """
     try:
-        return spark.read.schema(schema).parquet(f"{root}/{table}")
+        found = spark.read.schema(f"{COLUMNS[table]}, batch bigint, bucket int").parquet(f"{root}/{table}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-
-
-def known_revisions(spark: SparkSession, root: str) -> DataFrame:
-    """Stored revisions with whether they are their page's latest by arrival."""
-    pointers = stored(spark, root, "page_pointers").groupBy("page_id").agg(F.max_by("revision_id", "seq").alias("latest"))
-    return stored(spark, root, "page_revisions").select("page_id", "revision_id").join(pointers, "page_id", "left").select(
+        return spark.createDataFrame([], COLUMNS[table])
+    if before is not None:
+        found = found.where(F.col("batch") < before)
+    if keys is not None:
+        # At most as many numbers as there are buckets.
+        found = found.where(F.col("bucket").isin([r[0] for r in keys.select(bucket_of(table)).distinct().collect()]))
+    return found.drop("batch", "bucket")
+
+
+def publish(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
+    """A batch's rows of a table in place of what an earlier try has left."""
+    fields = struct(table) if table in SCHEMAS else rows.sparkSession.createDataFrame([], COLUMNS[table]).schema
+    shown = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).withColumn("bucket", bucket_of(table))
+    shown.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{table}/batch={batch_id}")
+
+
+def known_revisions(spark: SparkSession, root: str, batch_id: int, arrived: DataFrame) -> DataFrame:
+    """Earlier revisions of the pages that have arrived, with whether they are their page's latest by arrival."""
+    asked = arrived.select("page_id").distinct()
+    of = lambda table: stored(spark, root, table, batch_id, asked).join(asked, "page_id", "left_semi")
+    pointers = of("page_pointers").groupBy("page_id").agg(F.max_by("revision_id", "seq").alias("latest"))
+    return of("page_revisions").select("page_id", "revision_id").join(pointers, "page_id", "left").select(
         "page_id", "revision_id", (F.col("revision_id") == F.col("latest")).alias("is_latest")
     )
 
@@ -56,30 +88,34 @@ def matched_pages(chain: DataFrame, rules: DataFrame) -> DataFrame:
     return found.join(about, "page_key")
 
 
-def _cut(df: DataFrame, root: str, name: str) -> DataFrame:
+def _cut(df: DataFrame, work: str, name: str) -> DataFrame:
     """``df`` written beside the sink and read back: short plans, and nothing to redo when an executor is lost."""
-    path = f"{root}/_work/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ingest(spark: SparkSession, batch: DataFrame, root: str, sources: DataFrame, rules: DataFrame) -> None:
-    """Take in one batch: refuse, chain, match, and write what is new. Pointers are written last."""
-    good, rejected = pages.admitted(_cut(pages.classified(batch, sources), root, "judged"))
-    chain = _cut(pages.revision_chain(pages.arrivals(good), known=known_revisions(spark, root)), root, "chain")
-    candidates = _cut(match.reverse_candidates(matched_pages(chain, rules), F.col("fetched_at")), root, "candidates")
-    inserted, _, conflicts = match.merge_candidates(candidates, stored(spark, root, "match_candidates"), match.REVERSE_EVIDENCE)
-    conflicts = _cut(conflicts, root, "conflicts")
-    inserted = _cut(match.without_conflicted_pages(inserted, conflicts), root, "inserted")
-    seen = stored(spark, root, "page_pointers").select("page_id", "seq")
-    pointers = match.without_conflicted_pages(chain, conflicts).join(seen, ["page_id", "seq"], "left_anti")
-    write_table(inserted, root, "match_candidates")
-    write_table(match.without_conflicted_pages(pages.new_revisions(chain), conflicts), root, "page_revisions")
-    conflicts.write.mode("append").parquet(f"{root}/candidate_conflicts")
-    rejected.select("seq", "tenant_id", "source_id", "url", "reject_reason").write.mode("append").parquet(f"{root}/rejected_fetches")
-    pointers.select(
-        "page_id", "revision_id", "seq", "fetched_at", "tenant_id", "source_id", "canonical_url"
-    ).write.mode("append").parquet(f"{root}/page_pointers")
+    df.write.mode("overwrite").parquet(f"{work}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def ingest(spark: SparkSession, batch: DataFrame, root: str, sources: DataFrame, rules: DataFrame, batch_id: int = 0) -> None:
+    """Take in one batch: refuse, chain, match, and write what is new under the batch's number."""
+    work = f"{root}/_work/batch-{batch_id}"
+    good, rejected = pages.admitted(_cut(pages.classified(batch, sources), work, "judged"))
+    arrived = pages.arrivals(good)
+    chain = _cut(pages.revision_chain(arrived, known=known_revisions(spark, root, batch_id, arrived)), work, "chain")
+    candidates = _cut(match.reverse_candidates(matched_pages(chain, rules), F.col("fetched_at")), work, "candidates")
+    old = stored(spark, root, "match_candidates", batch_id, candidates)
+    inserted, _, conflicts = match.merge_candidates(candidates, old, match.REVERSE_EVIDENCE)
+    conflicts = _cut(conflicts, work, "conflicts")
+    kept = match.without_conflicted_pages(chain, conflicts)
+    publish(match.without_conflicted_pages(inserted, conflicts), root, "match_candidates", batch_id)
+    publish(pages.new_revisions(kept), root, "page_revisions", batch_id)
+    publish(conflicts, root, "candidate_conflicts", batch_id)
+    publish(rejected, root, "rejected_fetches", batch_id)
+    publish(kept, root, "page_pointers", batch_id)
+    _removed(spark, work)
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
@@ -92,8 +128,8 @@ def start(
 ) -> StreamingQuery:
     """Match a stream of fetches; ``rules`` is asked at each batch, so each batch sees one state of them."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        ingest(batch.sparkSession, batch, root, sources, rules())
+    def each(batch: DataFrame, batch_id: int) -> None:
+        ingest(batch.sparkSession, batch, root, sources, rules(), batch_id)
 
     writer = feed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
