@@ -1,6 +1,7 @@
 """Extraction, line dedup, repeats and decontamination against plain versions."""
 
 import hashlib
+import html
 import random
 import re
 
@@ -24,8 +25,33 @@ def test_markup_that_is_not_text():
 def test_broken_markup():
     for page in (None, "", "<", "<p", "<article><p>a<b>b", "</p></div>a", "<article><script>x", "a < b", "<p title='>'>q</p>"):
         html_text.lines_of(page)
-    assert html_text.candidates("<article><p>a<b>b") == (True, ["ab"])
-    assert html_text.candidates("a < b &am") == (False, ["a < b &am"])
+    assert html_text.lines_of("<article><p>a<b>b") == [(True, "ab")]
+    assert html_text.lines_of("a < b &am") == [(False, "a < b &am")]
+
+
+def test_marks_that_say_and_marks_that_hint():
+    story = "A long story that goes on and on for quite a while, as stories do."
+    own = lambda page: [t for inside, t in html_text.lines_of(page) if inside]
+    assert own(f'<article><p>{story}</p></article><article class="comment"><p>{story}</p></article>') == [story]
+    assert own(f'<article><p class="ad">Buy</p><p>{story}</p><p class="cookie-notice">We use cookies</p></article>') == [story]
+    assert own(f'<article><div class="body share-enabled"><p>{story}</p></div></article>') == [story]
+    assert own(f'<article><div class="content related-topics-on"><p>{story}</p></div></article>') == [story]
+    assert own(f'<article><header>Section</header><p>{story}</p></article>') == [story]
+    assert own(f'<article><p>{story}</p><div class="post-share-bar">Like it</div></article>') == [story]
+    assert own(f'<article class="promo-story"><p>{story}</p></article>') == [story]
+    assert own(f'<div class="related-reads"><a href="/x">{story}</a></div><article><p>Short.</p></article>') == ["Short."]
+
+
+def test_lines_of_long_pages_take_linear_memory(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(html_text, "TABLE_CELLS", 30)
+    for _ in range(30):
+        a, b = (np.array([rng.randrange(9) for _ in range(rng.randrange(60))], np.int64) for _ in range(2))
+        left, right = html_text.common_lines(a, b)
+        monkeypatch.setattr(html_text, "TABLE_CELLS", 1 << 20)
+        assert len(left) == len(html_text.common_lines(a, b)[0]) and (a[left] == b[right]).all()
+        assert left == sorted(set(left)) and right == sorted(set(right))
+        monkeypatch.setattr(html_text, "TABLE_CELLS", 30)
 
 
 def test_shared_lines_of_neighbours_go(spark):
@@ -55,9 +81,12 @@ def test_common_lines():
 
 
 def test_pages_against_the_documents_they_show(spark, sf):
+    """The title, then a document's text with white space as one blank within its paragraphs: nothing more, nothing less."""
     texts = {r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    titles = {r.page_id: re.search("<h1>(.*?)</h1>", r.html, re.S)[1] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in html_text.op2_html_text(spark, sf).collect():
-        assert r.text in texts or r.text.partition("\n")[2] in texts
+        title, _, rest = r.text.partition("\n")
+        assert rest in texts and title == " ".join(html.unescape(titles[r.page_id]).split())
 
 
 def line_oracle(rows, sites):

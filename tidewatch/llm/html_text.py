@@ -15,14 +15,14 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import materialise
+from .common import materialise, spread
 
 #: Elements whose content is never main text.
 SKIPPED = {
@@ -47,9 +47,13 @@ MARKS = {
     "popup", "promo", "promotion", "recommended", "related", "reply", "replies", "respond", "search", "share", "sharing",
     "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "header",
 }
+#: Words beside a mark that make it say how a block is set up, not what it is ("has-sidebar", "share-enabled").
+STATES = {"active", "closed", "disabled", "enabled", "has", "is", "no", "off", "on", "open", "visible", "with", "without"}
 OWN = {"article", "main"}
 #: Elements that a mark in their class or id does not hide.
-TRUSTED = OWN | {"html", "body", "h1", "p"}
+TRUSTED = {"html", "body", "main", "h1"}
+#: A block that a mark names only in part stays if it has over this share of a page's text, and links have no such share of it.
+MOST = 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<",
@@ -59,19 +63,27 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _is_marked(name: str, attributes: str) -> bool:
-    """Whether the attributes say that the element is hidden or not main text."""
+def _mark(name: str, attributes: str) -> int:
+    """2 if the attributes say that the element is hidden or not main text, 1 if they hint at it, else 0.
+
+    A class, id or role whose words are all marks says so; a mark among other words
+    is a hint, and with a word of state it is neither.
+    """
     if not attributes.strip() or name in ("html", "body"):
-        return False
+        return 0
+    found = 0
     for key, value in ATTRIBUTE.findall(attributes):
         key = key.lower()
         value = value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and HIDDEN.search(value)):
-            return True
+            return 2
         if key in ("class", "id", "role") and name not in TRUSTED:
-            if MARKS & set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-                return True
-    return False
+            for token in value.split():
+                words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
+                marks = [w for w in words if w in MARKS]
+                if marks and not STATES & set(words):
+                    found = max(found, 2 if len(marks) == len(words) else 1)
+    return found
 
 
 def lines_of(page: str | None) -> list[tuple[bool, str]]:
@@ -79,21 +91,26 @@ def lines_of(page: str | None) -> list[tuple[bool, str]]:
 
     White space within a line is one blank, character references are decoded and
     empty lines are left out. End tags close what they name; unclosed elements end
-    with the element around them, and a cut-off page ends where it ends.
+    with the element around them, and a cut-off page ends where it ends. A block
+    that a class hints at goes unless most of the page's text is in it.
     """
     page = page or ""
-    out: list[tuple[bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, skipped, own
+    out: list[tuple[bool, str, int, tuple]] = []
+    stack: list[tuple[str, bool, bool, tuple, bool]] = []  # what held before: name, skipped, own, hints, link
     words: list[str] = []
-    skipped = own = False
+    linked = 0
+    skipped = own = link = False
+    hints: tuple = ()
 
     def close_line() -> None:
+        nonlocal linked
         text = " ".join(html.unescape("".join(words)).split()) if words else ""
         words.clear()
         if text:
-            out.append((own, text))
+            out.append((own, text, min(linked, len(text)), hints))
+        linked = 0
 
-    at, size = 0, len(page)
+    at, size, hinted = 0, len(page), 0
     while at < size:
         token = TOKEN.match(page, at)
         at = token.end()
@@ -102,6 +119,7 @@ def lines_of(page: str | None) -> list[tuple[bool, str]]:
             text = token[0]
             if not skipped and not (text[0] == "<" and len(text) > 1):
                 words.append(text)
+                linked += len(text) if link else 0
             continue
         name = name.lower()
         if name in BLOCKS or name in SKIPPED:
@@ -111,78 +129,111 @@ def lines_of(page: str | None) -> list[tuple[bool, str]]:
         if token[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    _, skipped, own = stack[i]
+                    _, skipped, own, hints, link = stack[i]
                     del stack[i:]
                     break
             continue
         if name in VOID or (token[3].rstrip().endswith("/") and name not in BLOCKS):
             continue
         if name in ("p", "li") and stack and stack[-1][0] == name:
-            _, skipped, own = stack.pop()
-        stack.append((name, skipped, own))
+            _, skipped, own, hints, link = stack.pop()
+        stack.append((name, skipped, own, hints, link))
+        mark = _mark(name, token[3])
         article = name in OWN or bool(re.search(r"role\s*=\s*[\"']?main\b", token[3]))
-        skipped = skipped or name in SKIPPED or (name == "header" and not own) or _is_marked(name, token[3])
+        skipped = skipped or name in SKIPPED or name == "header" or mark == 2
+        if mark == 1 and not skipped:
+            hints = (*hints, hinted)
+            hinted += 1
         own = (own or article) and not skipped
+        link = link or name == "a"
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]|</{re.escape(name)}\Z", re.I).search(page, at)
             at = end.start() if end else size
     close_line()
-    return out
+    sizes, links = [0] * hinted, [0] * hinted
+    for _, text, n, of in out:
+        for h in of:
+            sizes[h] += len(text)
+            links[h] += n
+    whole = sum(len(text) for _, text, _, _ in out)
+    gone = {h for h in range(hinted) if not (sizes[h] > MOST * whole and links[h] < MOST * sizes[h])}
+    return [(inside, text) for inside, text, _, of in out if not gone.intersection(of)]
 
 
-def candidates(page: str | None) -> tuple[bool, list[str]]:
-    """Whether the page marks its main text, and those lines, or else all that are not skipped."""
-    lines = lines_of(page)
-    own = [text for inside, text in lines if inside]
-    return (True, own) if own else (False, [text for _, text in lines])
+def _ahead(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each length of a beginning of y, the longest common subsequence of it and all of x."""
+    best = np.zeros(len(y) + 1, np.int32)
+    for line in x:
+        best[1:] = np.maximum.accumulate(np.maximum(np.where(y == line, best[:-1] + 1, 0), best[1:]))
+    return best
 
 
-def common_lines(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Places of a longest common subsequence of two lists of line hashes."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    # Lines that the other side lacks are in no common subsequence.
-    i_of, j_of = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
-    x, y = x[i_of], y[j_of]
+def _table_pairs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     for i in range(len(x) - 1, -1, -1):
         row = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
         best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    left, right = list(range(head)), list(range(head))
-    i = j = 0
+    found, i, j = [], 0, 0
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
-            left.append(int(i_of[i]) + head)
-            right.append(int(j_of[j]) + head)
+            found.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1, j] >= best[i, j + 1]:
             i += 1
         else:
             j += 1
-    left += range(len(a) - tail, len(a))
-    right += range(len(b) - tail, len(b))
+    return found
+
+
+#: Cells of a table of two parts of pages; larger ones are halved first, so that memory is linear in the lines.
+TABLE_CELLS = 1 << 20
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by halving x where the best ways through both halves meet."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) * len(y) <= TABLE_CELLS or len(x) == 1:
+        return _table_pairs(x, y)
+    half = len(x) // 2
+    cut = int(np.argmax(_ahead(x[:half], y) + _ahead(x[half:][::-1], y[::-1])[::-1]))
+    return _pairs(x[:half], y[:cut]) + [(i + half, j + cut) for i, j in _pairs(x[half:], y[cut:])]
+
+
+def common_lines(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Places of a longest common subsequence of two lists of line hashes."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    # Lines that the other side lacks are in no common subsequence.
+    i_of, j_of = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+    found = _pairs(x[i_of], y[j_of])
+    left = [*range(head), *(int(i_of[i]) + head for i, _ in found), *range(len(a) - tail, len(a))]
+    right = [*range(head), *(int(j_of[j]) + head for _, j in found), *range(len(b) - tail, len(b))]
     return left, right
 
 
-def _hash(line: str) -> int:
-    return xxh64_intdigest(line.encode(), 0) & 0x7FFFFFFFFFFFFFFF
+PAGE_SCHEMA = "page_id long, url string, host string, path string, own array<boolean>, lines array<string>, digest binary"
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, sizes = [], []
-        for page in batch.column(3):
-            lines = [text for _, text in lines_of(page.as_py())]
-            hashes.append([_hash(x) for x in lines])
-            sizes.append([len(x) for x in lines])
+        owns, texts, digests = [], [], []
+        for page in batch.column(4):
+            found = lines_of(page.as_py())
+            owns.append([own for own, _ in found])
+            texts.append([text for _, text in found])
+            digests.append(sha256(repr(found).encode()).digest())
         yield pa.record_batch(
-            [*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
-            names=["key", "host", "path", "lines", "sizes"],
+            [
+                *batch.columns[:4], pa.array(owns, pa.list_(pa.bool_())), pa.array(texts, pa.list_(pa.string())),
+                pa.array(digests, pa.binary()),
+            ],
+            names=["page_id", "url", "host", "path", "own", "lines", "digest"],
         )
 
 
@@ -255,50 +306,49 @@ def _site_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for page, half, whole in zip(*batch.columns[2:], strict=True):
-            lines = lines_of(page.as_py())
-            marked = any(own for own, _ in lines)
-            gone = set((whole if marked else half).as_py() or ())
-            texts.append("\n".join(x for i, (own, x) in enumerate(lines) if own >= marked and i not in gone))
+        for owns, lines, marked, gone in zip(*batch.columns[2:], strict=True):
+            dropped, marked = set(gone.as_py()), marked.as_py()
+            both = enumerate(zip(owns.as_py(), lines.as_py(), strict=True))
+            texts.append("\n".join(x for i, (own, x) in both if own >= marked and i not in dropped))
         yield pa.record_batch(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
         )
 
 
-#: Pages with shared lines up to this number are sent to all tasks; more are joined by a shuffle.
-BROADCAST_PAGES = 50_000
-
-
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages``.
 
-    A null or empty page has an empty text. Rows that are equal in all three
-    columns are compared as one page and all returned. Pages whose URL is null or
-    has no host are neighbours of each other.
+    A null or empty page has an empty text. Pages of a host whose lines are all
+    equal are compared as one and all returned. Pages whose URL is null or has no
+    host are neighbours of each other.
     """
-    keyed = pages.select(
-        F.xxhash64("page_id", "url", "html").alias("key"), F.col("page_id").cast("long").alias("page_id"), "url",
+    url = F.coalesce(F.col("url"), F.lit(""))
+    slim = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "url",
+        F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
+        F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
-    url = F.coalesce(F.col("url"), F.lit(""))
-    slim = keyed.select(
-        "key", F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), "html",
+    parsed = materialise(slim.mapInArrow(_line_batches, PAGE_SCHEMA), "html-lines")
+    hashed = parsed.where(F.size("lines") > 0).select(
+        "host", "path", "digest", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), F.transform("lines", lambda x: F.length(x)).alias("sizes")
     )
-    lines = slim.mapInArrow(_line_batches, "key long, host string, path string, lines array<long>, sizes array<int>")
-    filled = materialise(lines.where(F.size("lines") > 0), "html-lines").dropDuplicates(["key"])
-    pairs = neighbours(filled).mapInArrow(_shared_batches, "key long, places array<int>, copy boolean")
+    distinct = hashed.groupBy("host", "digest").agg(F.min(F.struct("path", "lines", "sizes")).alias("page"))
+    distinct = materialise(distinct.select(F.monotonically_increasing_id().alias("key"), "host", "digest", "page.*"), "html-distinct")
+    pairs = neighbours(distinct.drop("digest")).mapInArrow(_shared_batches, "key long, places array<int>, copy boolean")
     votes = pairs.groupBy("key").agg(F.collect_list(F.struct("places", "copy")).alias("votes"))
     votes = votes.where(F.exists("votes", lambda v: F.size(v["places"]) > 0))
     found = votes.mapInArrow(_site_batches, "key long, half array<int>, whole array<int>").where(F.size("half") > 0)
-    shared = materialise(found, "html-shared")
-    few = shared.count() <= BROADCAST_PAGES
-    joined = keyed.join(F.broadcast(shared) if few else shared, "key", "left")
-    return joined.select("page_id", "url", "html", "half", "whole").mapInArrow(
-        _text_batches, "page_id long, url string, text string, n_chars long"
+    shared = materialise(found.join(distinct, "key").select("host", "digest", "half", "whole"), "html-shared")
+    marked = F.exists("own", lambda x: x)
+    gone = F.when(marked, F.col("whole")).otherwise(F.col("half"))
+    joined = parsed.join(shared, ["host", "digest"], "left").select(
+        "page_id", "url", "own", "lines", marked.alias("marked"), F.coalesce(gone, F.array().cast("array<int>")).alias("gone")
     )
+    return joined.mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """The main text of each row of ``pages``; null and empty pages have an empty one, repeated rows are returned each."""
+    return main_text(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
