@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch_path
+from .common import documents, free_name, materialise, scratch_path
 
 #: Text bytes of a merged file.
 TARGET_BYTES = 64 << 20
@@ -24,10 +24,11 @@ ARRIVAL_ROWS = 1000
 #: Tiers are powers of this over ``SMALL_BYTES``; a run needs as many files unless it fills a target.
 FAN_IN = 4
 SMALL_BYTES = 64 << 10
-#: Planned merges up to this many files are sent to all tasks; more are joined by a shuffle.
+#: Lists of up to this many files (about 100 bytes each) are sent to all tasks; longer ones are joined by a shuffle.
 BROADCAST_FILES = 200_000
 
-MANIFEST = "shard string, path string, n_docs long, n_bytes long, tier int, added long"
+#: ``folder`` is the folder of the version that wrote the shard, in which ``shard`` is a file or a folder of one run.
+MANIFEST = "shard string, folder string, n_docs long, n_bytes long, tier int, added long"
 
 
 class CommitConflict(RuntimeError):
@@ -65,7 +66,7 @@ class ShardTable:
     def commit(self, manifest: DataFrame, base: int) -> int:
         """Publish ``manifest`` as version ``base + 1``; raises CommitConflict if that exists."""
         name = f"lists/{base + 1:09d}-{uuid.uuid4().hex}"
-        manifest.coalesce(1).write.parquet(f"{self.root}/{name}")
+        manifest.write.parquet(f"{self.root}/{name}")
         draft, final = self._path(f"versions/.draft-{uuid.uuid4().hex}"), self._path(f"versions/{base + 1:09d}.json")
         out = draft.getFileSystem(self._conf).create(draft, False)
         out.write(bytearray(json.dumps({"list": name}).encode()))
@@ -95,71 +96,86 @@ class ShardTable:
             .select(F.col("_metadata.file_name").alias("file"), size.alias("size"))
             .groupBy("file").agg(F.count("*").alias("n_docs"), F.sum("size").alias("n_bytes"))
         )
-        path = F.concat(F.lit(f"{name}/"), "file")
         added = added.select(
-            path.alias("shard"), path.alias("path"), "n_docs", "n_bytes", self._tier(F.col("n_bytes")).alias("tier"),
-            F.lit(base + 1).cast("long").alias("added"),
+            F.concat(F.lit(f"{name}/"), "file").alias("shard"), F.lit(name).alias("folder"), "n_docs", "n_bytes",
+            self._tier(F.col("n_bytes")).alias("tier"), F.lit(base + 1).cast("long").alias("added"),
         )
         return self.commit(self.manifest(base).unionByName(added), base)
 
     def plan(self, manifest: DataFrame, target_bytes: int) -> DataFrame:
-        """(run, shard, ...) for each shard that is to be merged.
+        """(run, shard, ...) for each shard that is to be merged; runs are whole numbers from 0, few of them unused.
 
         Within a tier, files follow each other by age; a run is closed when its
         bytes reach the target. A run of one file is left alone, as are files of
         half the target or more and a last run of fewer than ``FAN_IN`` files that
-        has not filled half a target. The window holds a slim row a file.
+        has not filled half a target. Files are sorted by range, so that running
+        sums are made a part at a time; what is ordered whole has a row a part and tier.
         """
-        small = manifest.where(F.col("n_bytes") * 2 < target_bytes)
-        age = Window.partitionBy("tier").orderBy("added", "shard")
-        before = F.coalesce(F.sum("n_bytes").over(age.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        runs = small.withColumn("run", F.concat_ws("-", "tier", F.floor(before / target_bytes).cast("string")))
-        in_run = Window.partitionBy("run")
-        runs = runs.withColumn("files", F.count("*").over(in_run)).withColumn("bytes", F.sum("n_bytes").over(in_run))
-        worth = (F.col("files") >= FAN_IN) | ((F.col("files") > 1) & (F.col("bytes") * 2 >= target_bytes))
-        return runs.where(worth).select("run", "shard", "path", "n_docs", "n_bytes")
+        small = manifest.where(F.col("n_bytes") * 2 < target_bytes).repartitionByRange("tier", "added", "shard")
+        placed = materialise(small.withColumn("part", F.spark_partition_id()), "shard-order")
+        sums = placed.groupBy("tier", "part").agg(F.sum("n_bytes").alias("bytes"))
+        along = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("tier", "part", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("base"))
+        in_tier = placed.groupBy("tier").agg(F.ceil(F.sum("n_bytes") / target_bytes).alias("runs"))
+        first = Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)
+        in_tier = in_tier.select("tier", F.coalesce(F.sum("runs").over(first), F.lit(0)).alias("first"))
+        age = Window.partitionBy("part", "tier").orderBy("added", "shard").rowsBetween(Window.unboundedPreceding, -1)
+        inside = placed.withColumn("inside", F.coalesce(F.sum("n_bytes").over(age), F.lit(0)))
+        run = (F.col("first") + F.floor((F.col("base") + F.col("inside")) / target_bytes)).cast("int")
+        runs = inside.join(sums, ["tier", "part"]).join(F.broadcast(in_tier), "tier").withColumn("run", run)
+        worth = runs.groupBy("run").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("bytes")).where(
+            (F.col("files") >= FAN_IN) | ((F.col("files") > 1) & (F.col("bytes") * 2 >= target_bytes))
+        )
+        return runs.join(worth.select("run"), "run").select("run", "shard", "folder", "n_docs", "n_bytes")
 
     def compact(self, schema, target_bytes: int = TARGET_BYTES) -> int:
         """Merge one round of runs; returns the version that holds afterwards.
 
         Nothing to merge commits nothing. Text moves once, to the task that
-        writes its run.
+        writes its run: each run has a task of its own.
         """
         base = self.version()
         manifest = self.manifest(base)
         plan_at = f"{self.root}/lists/plan-{uuid.uuid4().hex}"
         self.plan(manifest, target_bytes).write.parquet(plan_at)
         plan = self.spark.read.parquet(plan_at)
-        files, runs = plan.agg(F.count("*"), F.count_distinct("run")).first()
+        files, last = plan.agg(F.count("*"), F.max("run")).first()
         if not files:
             return base
         name = f"data/c-{base + 1:09d}-{uuid.uuid4().hex[:8]}"
-        moves = plan.select(F.col("shard").alias("__shard"), F.col("run").alias("__run"))
-        rows = self._rows(plan, schema).join(F.broadcast(moves) if files <= BROADCAST_FILES else moves, "__shard")
+        run, shard = free_name("__run", schema.names), free_name("__shard", schema.names)
+        rows = self._rows(plan.select("shard", "folder", F.col("run").alias(run)), files, schema)
         (
-            rows.drop("__shard").repartition(max(runs, 1), "__run")
-            .write.option("compression", "zstd").partitionBy("__run").parquet(f"{self.root}/{name}")
+            rows.drop(shard).repartitionById(last + 1, run)
+            .write.option("compression", "zstd").partitionBy(run).parquet(f"{self.root}/{name}")
         )
-        path = F.concat(F.lit(f"{name}/__run="), "run")
         merged = plan.groupBy("run").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
         merged = merged.select(
-            path.alias("shard"), path.alias("path"), "n_docs", "n_bytes", self._tier(F.col("n_bytes")).alias("tier"),
-            F.lit(base + 1).cast("long").alias("added"),
+            F.concat(F.lit(f"{name}/{run}="), "run").alias("shard"), F.lit(name).alias("folder"), "n_docs", "n_bytes",
+            self._tier(F.col("n_bytes")).alias("tier"), F.lit(base + 1).cast("long").alias("added"),
         )
         kept = manifest.join(plan.select("shard"), "shard", "left_anti").select(*manifest.columns)
         return self.commit(kept.unionByName(merged), base)
 
-    def _rows(self, listed: DataFrame, schema) -> DataFrame:
-        """Rows of the listed shards with the shard's name in ``__shard``."""
-        paths = [f"{self.root}/{r['path']}" for r in listed.select("path").toLocalIterator()]
-        if not paths:
-            return self.spark.createDataFrame([], schema).withColumn("__shard", F.lit(""))
+    def _rows(self, listed: DataFrame, files: int, schema) -> DataFrame:
+        """Rows of the listed shards with the shard's name in ``__shard`` (or a name that is free) and the list's further columns.
+
+        The driver names folders only, one a version that still has shards; which
+        files in them count is told by a join with the list.
+        """
+        folders = [f"{self.root}/{r['folder']}" for r in listed.select("folder").distinct().toLocalIterator()]
+        shard = free_name("__shard", schema.names)
+        moves = listed.withColumnRenamed("shard", shard).drop("folder")
+        if not folders:
+            return self.spark.createDataFrame([], schema).withColumn(shard, F.lit("")).join(moves, shard)
         file = F.regexp_extract("_metadata.file_path", r"(data/[^/]+/[^/]+)(?:/[^/]+)?$", 1)
-        return self.spark.read.schema(schema).parquet(*paths).select("*", file.alias("__shard"))
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders).select("*", file.alias(shard))
+        return rows.join(F.broadcast(moves) if files <= BROADCAST_FILES else moves, shard)
 
     def read(self, schema, version: int | None = None) -> DataFrame:
         """The rows of a version, with ``__shard``."""
-        return self._rows(self.manifest(version), schema)
+        listed = self.manifest(version).select("shard", "folder")
+        return self._rows(listed, listed.count(), schema)
 
 
 def shard(docs: DataFrame, root: str, arrivals: int = 2, target_bytes: int = TARGET_BYTES) -> ShardTable:
@@ -183,7 +199,7 @@ def placed(docs: DataFrame, root: str) -> DataFrame:
     table = shard(docs, root)
     rows = table.read(docs.schema).select(
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-        F.col("__shard").alias("shard"),
+        F.col(free_name("__shard", docs.columns)).alias("shard"),
     )
     listed = table.manifest().select(
         "shard", F.col("n_docs").alias("shard_docs"), F.col("n_bytes").alias("shard_bytes"), "tier"
@@ -192,4 +208,5 @@ def placed(docs: DataFrame, root: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each row of ``documents``; null and empty texts are placed with no bytes, repeated rows each."""
     return placed(documents(spark, sf_dir), scratch_path(spark, "shards"))
