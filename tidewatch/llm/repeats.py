@@ -3,22 +3,25 @@
 A string of ``LENGTH`` bytes that occurs twice holds the same anchor in both
 places: the least of the hashes of its shorter grams. So occurrences of an
 anchor are brought together with what surrounds them, and only there are
-strings compared: copies of a whole surrounding are one class, and the classes
+strings compared: surroundings with one SHA-256 are one class, and the classes
 of an anchor are suffix-sorted by hash comparison to find how far they agree on
-either side.
+either side, which their bytes then confirm. An anchor with more classes than one
+task should hold is resolved start by start, by the SHA-256 of each string. No
+byte goes by a polynomial hash alone.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, scratch_path
+from .common import documents, materialise, scratch_path, spread
 from .suffix_sort import PrefixHash, equal_bytes, sort_suffixes
 
 #: Bytes of a string whose repetition counts.
@@ -27,7 +30,7 @@ LENGTH = 400
 GRAM = 64
 #: Bytes of text that are hashed at once; longer texts are read in overlapping parts.
 CHUNK = 2 << 20
-#: Classes of an anchor that are sorted together. An anchor with more is resolved window by window.
+#: Classes of an anchor that are sorted together. An anchor with more is resolved start by start, with the same outcome.
 GROUP_ROWS = 2048
 #: Rows of whole groups that are resolved at once.
 BATCH_ROWS = 4096
@@ -58,10 +61,9 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> d
 
     Each start of a ``length``-byte string is in one run. ``place`` is the anchor's
     byte in its text, ``back`` and ``front`` the first and last start counted from the
-    anchor (both <= 0), ``anchor`` hashes the gram, ``surround`` all bytes that the
-    run's strings touch, and where the anchor lies in them.
+    anchor (both <= 0), and ``anchor`` hashes the gram.
     """
-    names = ("text", "place", "back", "front", "anchor", "surround")
+    names = ("text", "place", "back", "front", "anchor")
     if len(data) < length:
         return {n: np.empty(0, np.int64) for n in names}
     hashes = PrefixHash(data)
@@ -78,11 +80,9 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> d
     last = np.append(first[1:], len(starts)) - 1
     begin = np.concatenate([[0], ends[:-1]])
     anchor, low, high = place[first], starts[first], starts[last]
-    size = high - low + length
-    surround = _mixed(hashes.of(low, size)) + (low - anchor).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
     return {
         "text": text[first], "place": anchor - begin[text[first]], "back": low - anchor, "front": high - anchor,
-        "anchor": grams[anchor].view(np.int64), "surround": _mixed(surround).view(np.int64),
+        "anchor": grams[anchor].view(np.int64),
     }
 
 
@@ -97,7 +97,7 @@ def _parts(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _run_batches(length: int, gram: int):
-    names = ("place", "back", "front", "anchor", "surround")
+    names = ("place", "back", "front", "anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
@@ -127,13 +127,37 @@ def _run_batches(length: int, gram: int):
     return run
 
 
+ASK = ("anchor", "place", "back", "front")
+
+
+def _digest_batches(length: int):
+    """SHA-256 of the bytes around each anchor of a document; what it returns tells surroundings apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: dict[str, list] = {n: [] for n in ("rid", *ASK, "surround")}
+            for rid, text, asked in zip(*batch.columns, strict=True):
+                body = memoryview(text.as_py() or b"")
+                for ask in asked.as_py():
+                    columns["rid"].append(rid.as_py())
+                    for n in ASK:
+                        columns[n].append(ask[n])
+                    low, high = ask["place"] + ask["back"], ask["place"] + ask["front"] + length
+                    columns["surround"].append(sha256(body[low:high]).digest())
+            yield pa.record_batch(
+                [pa.array(v, pa.binary() if n == "surround" else pa.int64()) for n, v in columns.items()], names=list(columns)
+            )
+
+    return run
+
+
 def _surround_batches(length: int):
     """Bytes around the anchors that a document is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: dict[str, list] = {n: [] for n in ("anchor", "surround", "back", "front", "copies", "body")}
-            for text, asked in zip(batch.column(0), batch.column(1), strict=True):
+            for text, asked in zip(*batch.columns, strict=True):
                 body = text.as_py() or b""
                 for ask in asked.as_py():
                     low, high = ask["place"] + ask["back"], ask["place"] + ask["front"] + length
@@ -141,7 +165,7 @@ def _surround_batches(length: int):
                     for n in ("anchor", "surround", "back", "front", "copies"):
                         columns[n].append(ask[n])
             yield pa.record_batch(
-                [pa.array(v, pa.binary() if n == "body" else pa.int64()) for n, v in columns.items()], names=list(columns)
+                [pa.array(v, pa.binary() if n in ("body", "surround") else pa.int64()) for n, v in columns.items()], names=list(columns)
             )
 
     return run
@@ -259,8 +283,11 @@ def _resolve_batches(length: int):
             marks = repeated_starts(anchor, back, front, copies, rows.column("body").to_pylist(), length)
             spans = [_spans(m, int(b), length) for m, b in zip(marks, back, strict=True)]
             return pa.record_batch(
-                [pa.array(anchor), rows.column("surround").combine_chunks(), pa.array(spans, pa.list_(pa.int64()))],
-                names=["anchor", "surround", "spans"],
+                [
+                    pa.array(anchor), rows.column("surround").combine_chunks(), pa.array(back), pa.array(front),
+                    pa.array(spans, pa.list_(pa.int64())),
+                ],
+                names=["anchor", "surround", "back", "front", "spans"],
             )
 
         for batch in batches:
@@ -281,82 +308,82 @@ def _resolve_batches(length: int):
 
 
 def _window_batches(length: int):
-    """A row for each start of a class, keyed by two hashes of its string."""
+    """A row for each start of a class, with the SHA-256 of its string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                bodies = part.column("body").to_pylist()
-                data = np.frombuffer(b"".join(bodies), np.uint8)
-                size = np.array([len(b) for b in bodies])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 back, front = part.column("back").to_numpy(), part.column("front").to_numpy()
-                row, start = _windows(np.arange(len(bodies)), back, front)
-                place = (np.cumsum(size) - size - back)[row] + start
-                one = PrefixHash(data).of(place, length)
-                two = PrefixHash(data ^ np.uint8(0xA5)).of(place, length)
+                row, start = _windows(np.arange(part.num_rows), back, front)
+                strings = []
+                for body, low, high in zip(part.column("body"), back.tolist(), front.tolist(), strict=True):
+                    view = memoryview(body.as_py())
+                    strings += [sha256(view[i : i + length]).digest() for i in range(high - low + 1)]
                 yield pa.record_batch(
                     [
-                        pa.array(part.column("anchor").to_numpy()[row]), pa.array(part.column("surround").to_numpy()[row]),
-                        pa.array(start), pa.array(part.column("copies").to_numpy()[row]),
-                        pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                        *[part.column(n).take(pa.array(row)) for n in ("anchor", "surround", "back", "front", "copies")],
+                        pa.array(start), pa.array(strings, pa.binary()),
                     ],
-                    names=["anchor", "surround", "start", "copies", "w1", "w2"],
+                    names=["anchor", "surround", "back", "front", "copies", "start", "string"],
                 )
 
     return run
 
 
+#: What tells classes apart.
+CLASS = ["anchor", "surround", "back", "front"]
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(rid, spans): byte spans to remove, as they come from the anchors of each row; they may overlap.
 
     ``rows`` is a stored table with rid and body (binary).
     """
     runs = materialise(
-        rows.select("rid", "body").mapInArrow(
-            _run_batches(length, gram), "rid long, place long, back long, front long, anchor long, surround long"
-        ),
+        rows.select("rid", "body").mapInArrow(_run_batches(length, gram), "rid long, place long, back long, front long, anchor long"),
         "repeat-runs",
     )
-    groups = runs.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("surround").alias("low"), F.max("surround").alias("high")
-    ).where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("one_class"))
-    groups = materialise(groups, "repeat-groups")
-    again = materialise(runs.join(groups, "anchor"), "repeat-again")
-    alike = again.where("one_class").select(
-        "rid", F.array(F.col("place") + F.col("back"), F.col("place") + F.col("front") + F.lit(length)).alias("spans")
+    twice = materialise(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "repeat-anchors")
+    asked = runs.join(twice, "anchor").groupBy("rid").agg(F.collect_list(F.struct(*ASK)).alias("asked"))
+    again = materialise(
+        rows.join(asked, "rid").select("rid", "body", "asked").mapInArrow(
+            _digest_batches(length), "rid long, anchor long, place long, back long, front long, surround binary"
+        ),
+        "repeat-again",
     )
-    classes = again.where("NOT one_class").groupBy("anchor", "surround", "back", "front").agg(
-        F.count("*").alias("copies"), F.min(F.struct("rid", "place")).alias("sample")
+    classes = materialise(
+        again.groupBy(*CLASS).agg(F.count("*").alias("copies"), F.min(F.struct("rid", "place")).alias("sample")), "repeat-classes"
     )
-    asked = classes.groupBy(F.col("sample.rid").alias("rid")).agg(
-        F.collect_list(F.struct("anchor", "surround", "back", "front", "copies", F.col("sample.place").alias("place"))).alias("asked")
+    groups = materialise(classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum("copies").alias("n")), "repeat-groups")
+    # All places of an anchor have one surrounding: every one of its strings occurs as often.
+    alike = again.join(groups.where("classes = 1 AND n > 1").select("anchor"), "anchor").select(
+        "rid", F.array(F.col("place") + F.col("back"), F.col("place") + F.col("front") + F.lit(length)).alias("spans")
+    )
+    several = groups.where("classes > 1").select("anchor", "classes")
+    samples = classes.join(several.select("anchor"), "anchor").groupBy(F.col("sample.rid").alias("rid")).agg(
+        F.collect_list(F.struct(*CLASS, "copies", F.col("sample.place").alias("place"))).alias("asked")
     )
     bodies = materialise(
-        rows.join(asked, "rid").select("body", "asked").mapInArrow(
-            _surround_batches(length),
-            "anchor long, surround long, back long, front long, copies long, body binary",
+        rows.join(samples, "rid").select("body", "asked").mapInArrow(
+            _surround_batches(length), "anchor long, surround binary, back long, front long, copies long, body binary"
         ),
         "repeat-bodies",
     )
-    large = materialise(
-        bodies.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor"), "repeat-large"
-    )
+    large = several.where(F.col("classes") > group_rows).select("anchor")
     dealt = bodies.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "surround")
-    small = dealt.mapInArrow(_resolve_batches(length), "anchor long, surround long, spans array<long>")
+    small = dealt.mapInArrow(_resolve_batches(length), "anchor long, surround binary, back long, front long, spans array<long>")
     windows = bodies.join(large, "anchor", "left_semi").mapInArrow(
-        _window_batches(length), "anchor long, surround long, start long, copies long, w1 long, w2 long"
+        _window_batches(length), "anchor long, surround binary, back long, front long, copies long, start long, string binary"
     )
     windows = materialise(windows, "repeat-windows")
-    twice = windows.groupBy("anchor", "start", "w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1")
+    known = windows.groupBy("anchor", "start", "string").agg(F.sum("copies").alias("n")).where("n > 1")
     of_large = (
-        windows.join(twice, ["anchor", "start", "w1", "w2"], "left_semi").groupBy("anchor", "surround")
+        windows.join(known, ["anchor", "start", "string"], "left_semi").groupBy(*CLASS)
         .agg(F.flatten(F.collect_list(F.array(F.col("start"), F.col("start") + F.lit(length)))).alias("spans"))
     )
     solved = materialise(small.where(F.size("spans") > 0).unionByName(of_large), "repeat-solved")
-    shared = again.where("NOT one_class").join(solved, ["anchor", "surround"]).select(
-        "rid", F.transform("spans", lambda x: x + F.col("place")).alias("spans")
-    )
+    shared = again.join(solved, CLASS).select("rid", F.transform("spans", lambda x: x + F.col("place")).alias("spans"))
     return alike.unionByName(shared).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -386,18 +413,21 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, table: str | None = None
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of ``docs``.
 
     Every byte covered by a ``length``-byte string that starts anywhere else too is
     removed, judged on the input. ``kept`` is binary: a cut may split a character.
     Null and empty texts stay empty; repeated rows are documents of their own, so
     both of two equal long texts go. Texts are stored once, in buckets by row, so
-    that later joins move only spans.
+    that later joins move only spans; ``table`` is the name of that table, which
+    the result still reads.
     """
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    table = f"repeats_{uuid.uuid4().hex}"
+    table = table or f"repeats_{uuid.uuid4().hex}"
     numbered = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"),
@@ -414,5 +444,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = remove_repeats(documents(spark, sf_dir))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """What is cut from each row of ``documents``; null and empty texts lose nothing, equal long texts lose all."""
+    table = f"repeats_{uuid.uuid4().hex}"
+    cut = remove_repeats(spread(documents(spark, sf_dir)), table=table)
+    digests = cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    result = materialise(digests, "repeat-result")
+    spark.sql(f"DROP TABLE {table}")
+    return result
