@@ -4,8 +4,10 @@ Two texts are linked if at least four fifths of their distinct five-word shingle
 are shared. The first candidates are what the fingerprints' grid join links: it
 brings close copies together cheaply. A pair at similarity 0.8 lies about ten of
 64 bits apart, beyond any grid of such fingerprints, so further candidates are
-texts that share a band of their minima under random orders of the shingles. Each
-candidate pair is compared shingle by shingle before it links.
+texts that share a band of their minima under random orders of the shingles. A
+band's texts are compared within tasks, by counts of the shingles that they share,
+and what comes out is a forest of links, at most one a text, not a row a pair. Each
+of its links is compared shingle by shingle before it counts.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 32, 4
 #: Shingles whose orders are computed at once, so that a very long text needs little memory.
 CHUNK = 1 << 12
-#: Rounds that compare a band's texts with one of them only, before all that are still apart are compared.
-STARS = 2
+#: Texts of a band in one block. Larger bands are compared as pairs of blocks, so that no task holds an unbounded one.
+BLOCK_ROWS = 400
+#: Cells of a table of texts and shared shingles that a task fills at once.
+TABLE_CELLS = 1 << 22
 
 _RNG = np.random.default_rng(42)
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -93,29 +97,83 @@ def _linked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def _pairs(members: DataFrame, roots: DataFrame | None, star: int | None) -> DataFrame:
-    """(a, b) of texts that share a band and no group: each with one of its band, or all."""
+def shared_counts(hashes: list[np.ndarray]) -> np.ndarray:
+    """For each two texts, how many of their distinct hashes they share."""
+    k = len(hashes)
+    flat, row = np.concatenate(hashes), np.repeat(np.arange(k), [len(h) for h in hashes])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column = column.reshape(-1)
+    twice = count[column] > 1
+    row, column = row[twice], column[twice]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1].reshape(-1)
+    out = np.zeros((k, k), np.float32)
+    step = max(TABLE_CELLS // k, 1)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        part = slice(*np.searchsorted(column, [low, low + step]))
+        table = np.zeros((k, step), np.float32)
+        table[row[part], column[part] - low] = 1
+        out += table @ table.T
+    return out
+
+
+def block_forest(roots: np.ndarray, texts: list[bytes]) -> list[tuple[int, int]]:
+    """Links that join all texts that are similar, directly or through others, and not of one root already."""
+    hashes = [np.unique(shingle_hashes(t, WIDTH)) for t in texts]
+    n = np.array([len(h) for h in hashes])
+    both = shared_counts(hashes)
+    near = DENOMINATOR * both >= NUMERATOR * (n[:, None] + n[None, :] - both)
+    label, links = np.unique(roots, return_inverse=True)[1].reshape(-1), []
+    for i in range(len(texts)):
+        own = None
+        while True:
+            others = np.flatnonzero(near[i] & (label != label[i]))
+            if not len(others):
+                break
+            j = int(others[0])
+            own = own or shingles(texts[i])
+            if similar(own, shingles(texts[j])):
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+            else:
+                near[i, j] = near[j, i] = False
+    return links
+
+
+def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of groups of rows (cell, pair, node, root, text) that follow each other."""
+    held: list[tuple] = []
+
+    def linked() -> pa.RecordBatch:
+        nodes, roots = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
+        links = block_forest(roots, [r[3] for r in held]) if len(held) > 1 else []
+        a, b = (pa.array([nodes[x[k]] for x in links], pa.int64()) for k in (0, 1))
+        return pa.record_batch([a, b], names=["a", "b"])
+
+    for batch in batches:
+        for cell, pair, node, root, text in zip(*(batch.column(i) for i in range(5)), strict=True):
+            key = cell.as_py(), pair.as_py()
+            if held and held[0][0] != key:
+                yield linked()
+                held = []
+            held.append((key, node.as_py(), root.as_py(), text.as_py() or b""))
+    if held:
+        yield linked()
+
+
+def _cell_links(members: DataFrame, roots: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """(a, b): links between the groups that meet in a band."""
     if roots is None:
         placed = members.withColumn("root", F.col("node"))
     else:
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialise(placed.select("cell", "node", "n", "root"), "near-placed")
-    apart = F.min("root") < F.max("root")
-    if star is None:
-        split = materialise(placed.groupBy("cell").agg(apart.alias("apart")).where("apart").select("cell"), "near-split")
-        left = placed.join(split, "cell", "left_semi")
-        right = left.select("cell", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-        both = left.join(right, "cell").where("root < hub_root")
-    else:
-        order = F.xxhash64("node", F.lit(star))
-        hub = F.min(F.struct(order.alias("order"), "node", "n", "root")).alias("hub")
-        hubs = placed.groupBy("cell").agg(hub, apart.alias("apart")).where("apart").select(
-            "cell", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.root").alias("hub_root")
-        )
-        both = placed.join(materialise(hubs, "near-hubs"), "cell").where("root <> hub_root")
-    # The similarity is at most the ratio of the sizes.
-    both = both.where(DENOMINATOR * F.least("n", "hub_n") >= NUMERATOR * F.greatest("n", "hub_n"))
-    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    placed = materialise(placed.select("cell", "node", "root"), "near-placed")
+    apart = placed.groupBy("cell").agg((F.min("root") < F.max("root")).alias("apart"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    dealt = placed.join(apart.where("apart").drop("apart"), "cell").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.least("p", "o").cast("long") * 1_000_000 + F.greatest("p", "o")
+    rows = dealt.select("cell", pair.alias("pair"), "node", "root").join(texts, "node").select("cell", "pair", "node", "root", "text")
+    return rows.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "node").mapInArrow(_forest_batches, "a long, b long")
 
 
 def _print_pairs(classes: DataFrame) -> DataFrame:
@@ -131,45 +189,42 @@ def _print_pairs(classes: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(digest, doc_id, root) for each distinct text of ``docs``: its least id and its group.
 
-    Groups are the connected components of the links. Texts that share a band are
-    first compared with one of the band, then all that are still in different
-    groups are, so that a large group costs a comparison a text.
+    Groups are the connected components of the links. What fingerprints link comes
+    first; bands are compared only where they still hold several groups.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = materialise(slim.mapInArrow(_band_batches, "digest binary, doc_id long, fp long, n long, cells array<long>"), "near-bands")
     one = [F.first(c).alias(c) for c in ("fp", "n", "cells")]
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *one)
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    cells = classes.select(F.explode("cells").alias("cell"), "node", "n")
+    cells = classes.select(F.explode("cells").alias("cell"), "node")
     shared = materialise(cells.groupBy("cell").count().where("count > 1").select("cell"), "near-cells")
     members = materialise(cells.join(shared, "cell"), "near-members")
-    by_print = materialise(_print_pairs(classes), "near-prints")
-    nodes = members.select("node").unionByName(by_print.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    pairs = materialise(_print_pairs(classes), "near-prints")
+    nodes = members.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     named = nodes.join(classes.select("node", "digest"), "node")
     texts = slim.select(digest_of(F.col("text")).alias("digest"), "text").join(named, "digest")
     texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    compared = (
+        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+    )
+    roots = _joined(None, materialise(compared.mapInArrow(_linked_batches, "a long, b long"), "near-links"))
+    roots = _joined(roots, materialise(_cell_links(members, roots, texts).distinct(), "near-links"))
+    return classes.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
 
-    links = tested = roots = None
-    for step in ("prints", *range(STARS), None):
-        pairs = by_print if step == "prints" else _pairs(members, roots, step)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        compared = (
-            pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-        )
-        found = materialise(compared.mapInArrow(_linked_batches, "a long, b long"), "near-links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        roots = materialise(connected_components(links, "a", "b"), "near-roots")
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of the groups that ``roots`` and further links make: only links between its groups are followed."""
     if roots is None:
-        return classes.select("digest", "doc_id", F.col("node").alias("root"))
-    return classes.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
+        return materialise(connected_components(links, "a", "b"), "near-roots")
+    for side in ("a", "b"):
+        of = roots.select(F.col("node").alias(side), F.col("root").alias("of"))
+        links = links.join(of, side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+    moved = connected_components(links, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    known = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = moved.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+    return materialise(known.unionByName(fresh), "near-roots")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
