@@ -50,6 +50,14 @@ def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores before it as no name of ``taken`` has."""
+    lower = {x.lower() for x in taken}
+    while name in lower:
+        name = "_" + name
+    return name
+
+
 def digest_of(text) -> F.Column:
     """The SHA-256 of a text, binary; a null text counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256))
@@ -60,5 +68,15 @@ def crc_of_id(column) -> F.Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it has fewer input splits than there are cores, as a small table in one file has.
+
+    Python functions over whole texts would else run in few tasks. Tables with
+    enough splits are left as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

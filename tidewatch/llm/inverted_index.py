@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest_of, documents, materialise, renamed
+from .common import digest_of, documents, materialise, renamed, spread
 
 #: Bytes of text after which a shard is closed. A longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
@@ -315,7 +315,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's words in each row of ``documents``; null and empty texts have none, repeated rows are answered each."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = search(build_index(documents(spark, sf_dir)), items)
+    found = search(build_index(spread(documents(spark, sf_dir))), items)
     return found.select(
         "doc_id",
         "n_words",

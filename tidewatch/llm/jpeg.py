@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, spread
 
 #: Bytes of a unit: three blocks of 64 coefficients.
 UNIT = 192
@@ -453,4 +453,5 @@ def media_features(stored: DataFrame) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(store(documents(spark, sf_dir)))
+    """The stored form of each row of ``documents``; null and empty texts are one unit of blanks, equal texts have equal values."""
+    return media_features(store(spread(documents(spark, sf_dir))))

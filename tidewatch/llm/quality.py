@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, documents, materialise
+from .common import crc_of_id, documents, materialise, spread
 from .inverted_index import BYTE_VALUE, _powers
 
 #: Hash buckets of words and n-grams, a power of two.
@@ -217,7 +217,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, good: float = GOOD) -> DataFra
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for each row of ``documents``; null and empty texts get the prior's, repeated rows equal scores."""
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     weights = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, weights).select(
         "doc_id", (crc_of_id(F.col("doc_id")) % 4 == 2).alias("held_out"), "score",

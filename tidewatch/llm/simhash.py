@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import documents, materialise
+from .common import documents, materialise, spread
 from .components import connected_components
 
 SEED = 42
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``documents`` with its fingerprint and group; null and empty texts are one group, repeated rows stay."""
-    found = near_duplicates(documents(spark, sf_dir))
+    found = near_duplicates(spread(documents(spark, sf_dir)))
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
