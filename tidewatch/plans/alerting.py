@@ -246,7 +246,7 @@ def frontier_due(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page_inputs(spark: SparkSession, d: str) -> DataFrame:
-    viewed = views.with_page_inputs(derived.table(spark, d, "pages"), "inputs", F.col("html"), F.col("url"))
+    viewed = views.with_page_inputs(derived.spread(derived.table(spark, d, "pages")), "inputs", F.col("html"), F.col("url"))
     return views.exploded(viewed, ["page_id"], F.col("inputs"))
 
 
