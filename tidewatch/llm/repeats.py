@@ -210,31 +210,39 @@ def repeated_starts(
         )
 
     most_left, most_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    pairs = []
+    pairs, doubted = [], [np.empty(0, np.int64)]
     for order, which in (
         (sort_suffixes(hashes, at, right, anchor), 1),
         (sort_suffixes(mirror, mirrored, left, anchor), 0),
     ):
         i, j = order[:-1], order[1:]
-        near = anchor[i] == anchor[j]
+        near = (anchor[i] == anchor[j]) & (i != j)
         i, j = i[near], j[near]
         both = extend(i, j)
+        doubted.append(np.setdiff1d(np.arange(n), order))
         bound = most_right if which else most_left
         np.maximum.at(bound, i, both[which])
         np.maximum.at(bound, j, both[which])
-        pairs.append((i, j, *both))
+        # Neighbours that agree by their bytes, and stand in the order of the next, prove the whole order.
+        same = equal_bytes(data, at[i] - both[0], at[j] - both[0], both[0] + both[1])
+        size_i, size_j, ahead = ((right[i], right[j], at), (left[i], left[j], mirrored))[1 - which]
+        source, ext = (data if which else data[::-1]), both[which]
+        last = len(data) - 1
+        x, y = source[np.minimum(ahead[i] + ext, last)], source[np.minimum(ahead[j] + ext, last)]
+        sorted_so = np.where(ext == np.minimum(size_i, size_j), size_i <= size_j, x < y)
+        doubted.append(i[~(same & sorted_so)])
+        pairs.append((i[same], j[same], both[0][same], both[1][same]))
     i, j, to_left, to_right = (np.concatenate(x) for x in zip(*pairs, strict=True))
     long = to_left + to_right >= length
     i, j, to_left, to_right = i[long], j[long], to_left[long], to_right[long]
-    true = equal_bytes(data, at[i] - to_left, at[j] - to_left, to_left + to_right)
-    for a, l, r in zip(np.concatenate([i[true], j[true]]), np.tile(to_left[true], 2), np.tile(to_right[true], 2), strict=True):
+    for a, l, r in zip(np.concatenate([i, j]), np.tile(to_left, 2), np.tile(to_right, 2), strict=True):
         marks[a][max(-l - back[a], 0) : max(r - length - back[a] + 1, 0)] = True
     low = np.maximum(back, -most_left)
     high = np.minimum(front, most_right - length)
     unsure = [k for k in range(n) if low[k] <= high[k] and not marks[k][low[k] - back[k] : high[k] - back[k] + 1].all()]
-    if unsure or not true.all():
-        groups = np.unique(anchor[np.concatenate([np.array(unsure, np.int64), i[~true]])])
-        _compare_windows(np.flatnonzero(np.isin(anchor, groups)), anchor, back, front, at, data, hashes, length, marks)
+    again = np.concatenate([np.array(unsure, np.int64), *doubted])
+    if len(again):
+        _compare_windows(np.flatnonzero(np.isin(anchor, anchor[again])), anchor, back, front, at, data, hashes, length, marks)
     return marks
 
 

@@ -57,7 +57,8 @@ def sort_suffixes(hashes: PrefixHash, begin: np.ndarray, length: np.ndarray, gro
     """Order of the suffixes within their groups, which are contiguous and stay in place.
 
     Bottom-up mergesort: the place of a suffix in the merged run is its place in
-    its own run plus its rank in the other, found by binary search.
+    its own run plus its rank in the other, found by binary search. If hashes
+    collide, suffixes can be out of order or missing, which the caller has to rule out.
     """
     n = len(begin)
     order = np.arange(n)
@@ -85,7 +86,7 @@ def sort_suffixes(hashes: PrefixHash, begin: np.ndarray, length: np.ndarray, gro
             high[work] = np.where(before, high[work], mid)
             work = work[low[work] < high[work]]
         target = base + (run // 2) * 2 * width + (place - run * width) + (low - start)
-        moved = np.empty_like(order)
+        moved = order.copy()
         moved[target] = order
         order = moved
         width *= 2
