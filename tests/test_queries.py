@@ -28,11 +28,6 @@ def test_query_equals_sql(spark, sf, name):
     assert_equal(QUERIES[name](spark, sf), ORACLES[name], sf)
 
 
-def test_rows_only_queries(spark, sf):
-    assert alerting.embedding_sha256(spark, sf).where("embedding_sha256 rlike '^[0-9a-f]{64}$'").count() == 500
-    assert alerting.query_vectors(spark, sf).where("status = 'ok' AND length = 1").count() > 10
-
-
 def feed(spark, sf):
     fetches, sources = alerting._feed(spark, sf)
     fetches = fetches.where("seq < 120")

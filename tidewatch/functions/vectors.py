@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +59,24 @@ def from_text(c: Column) -> Column:
     return F.from_json(c, "array<float>")
 
 
+def _digests(vectors: pa.Array) -> pa.Array:
+    """SHA-256 of each list of floats, big-endian; null for a null list or one with a null in it."""
+    flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)  # -0 becomes 0
+    flat[np.isnan(flat)] = np.nan
+    data, ends = flat.astype(">f4").tobytes(), vectors.offsets.to_numpy()
+    holes = np.concatenate([[0], np.cumsum(vectors.values.is_null().to_numpy(zero_copy_only=False))])
+    known = vectors.is_valid().to_numpy(zero_copy_only=False) & (holes[ends[1:]] == holes[ends[:-1]])
+    return pa.array([sha256(data[4 * a : 4 * b]).hexdigest() if ok else None for a, b, ok in zip(ends[:-1], ends[1:], known, strict=True)], pa.string())
+
+
 def embedding_sha256(v: Column) -> Column:
-    """SHA-256 over the big-endian bits of the floats; -0 counts as 0."""
-    plain = F.transform(v.cast("array<float>"), lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))
-    bits = F.transform(
-        plain,
-        lambda x: F.right(
-            F.lpad(F.hex(F.reflect(F.lit("java.lang.Float"), F.lit("floatToIntBits"), x).cast("bigint")), 16, "0"), F.lit(8)
-        ),
-    )
-    return F.sha2(F.unhex(F.array_join(bits, "")), 256)
+    """SHA-256 over the big-endian bits of the floats; -0 counts as 0. Vectors are hashed an Arrow batch at a time."""
+
+    @F.arrow_udf("string")
+    def digests(vectors: pa.Array) -> pa.Array:
+        return _digests(vectors)
+
+    return digests(v.cast("array<float>"))
 
 
 def weighted_centroid(rows: DataFrame, key: str, ordinal: str, vector: str, weight: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,19 +92,27 @@ def admit_activations(enables: DataFrame, limit: int = ACTIVE_LIMIT) -> DataFram
     return first.withColumn("nth", F.row_number().over(owner)).withColumn("admitted", F.col("nth") <= limit)
 
 
-def _fold(limit: int):
-    def run(owner: pd.DataFrame) -> pd.DataFrame:
+LOG = ["tenant_id", "owner_subject", "alert_rule_id", "seq", "enable"]
+
+
+def _fold_batches(limit: int):
+    """Rows that come sorted by owner and order, with whether each is admitted; only the owner's active rules are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner: tuple | None = None
         active: set = set()
-        admitted = []
-        owner = owner.sort_values(["seq", "alert_rule_id"])
-        for rule, enable in zip(owner["alert_rule_id"], owner["enable"], strict=True):
-            fits = not enable or rule in active or len(active) < limit
-            if enable and fits:
-                active.add(rule)
-            elif not enable:
-                active.discard(rule)
-            admitted.append(fits)
-        return owner.assign(admitted=admitted)[["tenant_id", "owner_subject", "alert_rule_id", "seq", "enable", "admitted"]]
+        for batch in batches:
+            admitted = []
+            for tenant, subject, rule, enable in zip(*(batch.column(c).to_pylist() for c in ("tenant_id", "owner_subject", "alert_rule_id", "enable")), strict=True):
+                if (tenant, subject) != owner:
+                    owner, active = (tenant, subject), set()
+                fits = not enable or rule in active or len(active) < limit
+                if enable and fits:
+                    active.add(rule)
+                elif not enable:
+                    active.discard(rule)
+                admitted.append(fits)
+            yield pa.record_batch([*batch.columns, pa.array(admitted, pa.bool_())], names=[*batch.schema.names, "admitted"])
 
     return run
 
@@ -110,11 +120,13 @@ def _fold(limit: int):
 def admit_activation_log(log: DataFrame, limit: int = ACTIVE_LIMIT) -> DataFrame:
     """A log of enables and disables with ``admitted``, folded in order for each owner.
 
-    A disable frees a place, so no window can tell: each owner's log is folded in
-    one task, and owners are spread over all.
+    A disable frees a place, so no window can tell: each owner's log passes one
+    task in order, which holds ``limit`` rules of it at most, and owners are spread
+    over all tasks.
     """
-    return log.select("tenant_id", "owner_subject", "alert_rule_id", "seq", "enable").groupBy("tenant_id", "owner_subject").applyInPandas(
-        _fold(limit), "tenant_id string, owner_subject string, alert_rule_id string, seq bigint, enable boolean, admitted boolean"
+    dealt = log.select(*LOG).repartition("tenant_id", "owner_subject").sortWithinPartitions("tenant_id", "owner_subject", "seq", "alert_rule_id")
+    return dealt.mapInArrow(
+        _fold_batches(limit), "tenant_id string, owner_subject string, alert_rule_id string, seq bigint, enable boolean, admitted boolean"
     )
 
 

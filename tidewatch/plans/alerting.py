@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from ..functions import scope, text, urls, vectors
 from ..functions.ids import match_key, uuid_of
@@ -283,16 +283,19 @@ def principal_claims(spark: SparkSession, d: str) -> DataFrame:
     return found.select("tenant_id", "subject", F.array_join("roles", ",").alias("roles"), "is_tenant_admin")
 
 
+LOWER = str.maketrans(text.UPPER, text.LOWER)
+
+
 def hashing_embedder(dimensions: int = 32) -> Callable[[pd.Series], pd.Series]:
-    """An embedder for tests: words hashed to signed places."""
+    """An embedder without a model: words hashed to signed places."""
 
     def run(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             v = np.zeros(dimensions, np.float32)
-            for word in t.lower().split():
-                h = xxh64_intdigest(word.encode())
-                v[h % dimensions] += 1 if h >> 63 else -1
+            for word in t.translate(LOWER).split():
+                h = int(md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+                v[h % dimensions] += 1 if h >> 31 else -1
             out.append(v if v.any() else np.ones(dimensions, np.float32))
         return pd.Series(out)
 
@@ -302,7 +305,8 @@ def hashing_embedder(dimensions: int = 32) -> Callable[[pd.Series], pd.Series]:
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
     texts = derived.query_texts(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "query_text")
     pooled = views.query_vectors(texts, hashing_embedder(), 32)
-    return pooled.select("query_id", "status", "inputs", F.round("length", 5).alias("length"))
+    place = lambda i: F.round(F.col("centroid")[i].cast("double"), 5)
+    return pooled.select("query_id", "status", "inputs", F.round("length", 5).alias("length"), place(0).alias("first"), place(31).alias("last"))
 
 
 def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

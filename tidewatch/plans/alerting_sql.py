@@ -227,6 +227,40 @@ CLAIMS = f"""WITH u AS (SELECT DISTINCT user_id AS n FROM events)
 SELECT {uid(1, 'n % 3')} AS tenant_id, CAST(n AS VARCHAR) AS subject, CASE WHEN n % 50 = 0 THEN 'admin,member' ELSE 'editor,member' END AS roles,
        n % 50 = 0 AS is_tenant_admin FROM u WHERE n % 50 = 0 OR n % 3 = 0"""
 
+#: SHA-256 of the big-endian bits of a vector's floats.
+VECTOR_SHA = """bits AS (
+  SELECT vec_id, sha256(string_agg(CAST(CAST(CASE WHEN x = 0 THEN 0 ELSE x END AS FLOAT) AS BIT)::VARCHAR, '' ORDER BY i)::BIT::BLOB) AS sha
+  FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id)"""
+
+CAP_LOG = f"""WITH RECURSIVE log AS (
+  SELECT {uid(1, 'user_id % 3')} AS tenant_id, 'user-' || user_id AS owner_subject, user_id || '-' || (event_id % 20) AS rule, epoch_us(ts) AS seq, event_type <> 'error' AS enable
+  FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, owner_subject ORDER BY seq, rule) AS n FROM log),
+fold AS (
+  SELECT tenant_id, owner_subject, 0 AS n, CAST([] AS VARCHAR[]) AS active, '' AS rule, CAST(0 AS BIGINT) AS seq, FALSE AS enable, FALSE AS admitted
+  FROM (SELECT DISTINCT tenant_id, owner_subject FROM log)
+  UNION ALL
+  SELECT l.tenant_id, l.owner_subject, l.n,
+         CASE WHEN NOT l.enable THEN list_filter(f.active, x -> x <> l.rule)
+              WHEN list_contains(f.active, l.rule) OR len(f.active) >= 10 THEN f.active ELSE list_append(f.active, l.rule) END,
+         l.rule, l.seq, l.enable, NOT l.enable OR list_contains(f.active, l.rule) OR len(f.active) < 10
+  FROM fold f JOIN numbered l ON l.tenant_id = f.tenant_id AND l.owner_subject = f.owner_subject AND l.n = f.n + 1)
+SELECT tenant_id, owner_subject, rule AS alert_rule_id, seq, enable, admitted FROM fold WHERE n > 0"""
+
+QUERY_VECTORS = f"""WITH {INPUT_ROWS},
+w AS (SELECT conv_id, turn, ordinal, CAST(CAST(weight AS FLOAT) AS DOUBLE) AS weight, unnest(string_split(translate(text, {AZ}), ' ')) AS word FROM inputs),
+h AS (SELECT *, CAST('0x' || substr(md5(word), 1, 8) AS UBIGINT) AS h FROM w),
+x AS (SELECT conv_id, turn, ordinal, weight, h % 32 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL),
+len AS (SELECT conv_id, turn, ordinal, weight, sum(x * x) AS sq FROM x GROUP BY ALL),
+u AS (
+  SELECT l.conv_id, l.turn, p.place, l.weight, CASE WHEN sq = 0 THEN 1 / sqrt(32) ELSE coalesce(x.x, 0) / sqrt(sq) END AS u
+  FROM len l CROSS JOIN (SELECT unnest(range(32)) AS place) p
+  LEFT JOIN x ON x.conv_id = l.conv_id AND x.turn = l.turn AND x.ordinal = l.ordinal AND x.place = p.place),
+m AS (SELECT conv_id, turn, place, sum(u * weight) / sum(weight) AS m, count(*) AS inputs FROM u GROUP BY ALL),
+c AS (SELECT conv_id, turn, any_value(inputs) AS inputs, sqrt(sum(m * m)) AS len, sum(m) FILTER (WHERE place = 0) AS first, sum(m) FILTER (WHERE place = 31) AS last FROM m GROUP BY ALL)
+SELECT conv_id || '-' || turn AS query_id, 'ok' AS status, inputs, 1.0 AS length, round(CAST(CAST(first / len AS FLOAT) AS DOUBLE), 5) AS first,
+       round(CAST(CAST(last / len AS FLOAT) AS DOUBLE), 5) AS last FROM c"""
+
 ORACLES: dict[str, str] = {
     "reverse_match_topk": REVERSE,
     "reverse_match_blocks": REVERSE,
@@ -247,6 +281,7 @@ ORACLES: dict[str, str] = {
     "rule_listing_by_principal": LISTING,
     "active_rule_counts": COUNTS,
     "active_rule_cap": CAP,
+    "active_rule_cap_with_disable": CAP_LOG,
     "rule_embedding_upsert": UPSERT,
     "candidate_dedup": DEDUP,
     "candidate_counts": CANDIDATE_COUNTS,
@@ -257,6 +292,8 @@ ORACLES: dict[str, str] = {
     "input_audit": INPUT_AUDIT,
     "frontier_due": FRONTIER,
     "page_views": VIEWS,
+    "embedding_sha256": f"WITH {VECTOR_SHA} SELECT vec_id, sha AS embedding_sha256 FROM bits",
+    "query_vectors": QUERY_VECTORS,
     "vector_text": "SELECT vec_id, TRUE AS same, len(embedding) AS dimensions FROM embeddings",
     "principal_claims": CLAIMS,
     "streaming_reverse_match": f"""WITH {V}, {RULES}, {PAGES}, {MATCHED}

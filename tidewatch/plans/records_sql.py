@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .alerting_sql import FETCHES, HITS, INPUT_ROWS, MATCHED, PAGES, RULES, V, derived, uid
+from .alerting_sql import FETCHES, HITS, INPUT_ROWS, MATCHED, PAGES, RULES, VECTOR_SHA, V, derived, uid
 
 SUBMITTED = f"""s AS (
   SELECT event_id AS n, {uid(1, 'user_id % 3')} AS tenant_id, 'user-' || user_id AS owner, CAST(event_id % 4 AS VARCHAR) AS ref,
@@ -69,10 +69,6 @@ SELECT sha256(to_json([tenant_id, rule_id, rule_revision_id, revision_id, conten
        revision_id AS told_revision, 'https://pages.example.com/' || vec_id AS told_url, dims AS told_dimensions
 FROM best WHERE rank <= 5"""
 
-#: SHA-256 of the big-endian bits of a vector's floats.
-VECTOR_SHA = """bits AS (
-  SELECT vec_id, sha256(string_agg(CAST(CAST(CASE WHEN x = 0 THEN 0 ELSE x END AS FLOAT) AS BIT)::VARCHAR, '' ORDER BY i)::BIT::BLOB) AS sha
-  FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id)"""
 EXPLAINED = f"""WITH {V}, {RULES}, {PAGES}, {MATCHED}, {VECTOR_SHA}
 SELECT match_key AS canonical_match_key, 'reverse_alert_stream' AS told_mode, round(similarity, 6) AS told_similarity, sha AS told_vector, 'false' AS told_persisted,
        'unit_length' AS told_normalization
