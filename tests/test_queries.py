@@ -28,6 +28,17 @@ def test_query_equals_sql(spark, sf, name):
     assert_equal(QUERIES[name](spark, sf), ORACLES[name], sf)
 
 
+@pytest.mark.parametrize("name", ["reverse_match_topk", "page_revision_chain", "url_policy", "query_inputs", "source_creation", "historical_candidates"])
+def test_compiled_query_equals_sql_on_more_rows(spark, name):
+    """The other tests leave whole-stage compilation off, as it takes longer than their few rows."""
+    sf = "/root/testdata/sf0.01"
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        assert_equal(QUERIES[name](spark, sf), ORACLES[name], sf)
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 def feed(spark, sf):
     fetches, sources = alerting._feed(spark, sf)
     fetches = fetches.where("seq < 120")

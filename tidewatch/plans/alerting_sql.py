@@ -241,7 +241,7 @@ fold AS (
   FROM (SELECT DISTINCT tenant_id, owner_subject FROM log)
   UNION ALL
   SELECT l.tenant_id, l.owner_subject, l.n,
-         CASE WHEN NOT l.enable THEN list_filter(f.active, x -> x <> l.rule)
+         CASE WHEN NOT l.enable THEN [x FOR x IN f.active IF x <> l.rule]
               WHEN list_contains(f.active, l.rule) OR len(f.active) >= 10 THEN f.active ELSE list_append(f.active, l.rule) END,
          l.rule, l.seq, l.enable, NOT l.enable OR list_contains(f.active, l.rule) OR len(f.active) < 10
   FROM fold f JOIN numbered l ON l.tenant_id = f.tenant_id AND l.owner_subject = f.owner_subject AND l.n = f.n + 1)

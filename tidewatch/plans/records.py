@@ -301,11 +301,31 @@ def single_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("embedding_id", "source_id", "excerpt", F.round("similarity", 6).alias("similarity"), "fetched_at")
 
 
+def feed_read(spark: SparkSession, d: str) -> DataFrame:
+    """The page feed as JSON lines, every third without a limit of candidates: it gets the default."""
+    path = scratch_path(spark, "feed")
+    fetches, _ = alerting._feed(spark, d)
+    fetches.withColumn("max_candidates", F.when(F.col("seq") % 3 > 0, F.col("max_candidates"))).write.json(path)
+    back = schemas.read_feed(spark, path)
+    return back.select("seq", "source_id", "final_url", "max_candidates", F.size("embedding.values").alias("dimensions"), F.unix_seconds("fetched_at").alias("fetched"))
+
+
+def tables_written(spark: SparkSession, d: str) -> DataFrame:
+    """Tables written in their layout and read again: one tenant's pages, and vectors of the model space."""
+    root = scratch_path(spark, "tables")
+    schemas.write_table(derived.pages(spark, d), root, "pages")
+    schemas.write_table(derived.page_embeddings(spark, d), root, "page_embeddings")
+    tenant = uuid_of(1, F.lit(1))
+    p = access.in_tenant(schemas.read_table(spark, root, "pages"), tenant).select(F.lit("pages").alias("name"), F.col("page_id").alias("id"))
+    e = schemas.read_table(spark, root, "page_embeddings").where("model_version = 'v1' AND dimensions > 1 AND normalization = 'unit_length'")
+    return p.unionByName(access.in_tenant(e, tenant).select(F.lit("page_embeddings").alias("name"), F.col("embedding_id").alias("id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         rule_revisions_created, rule_submissions_rejected, source_creation, page_requests_rejected, candidate_audit, provider_output, historical_candidates,
         score_explanations, evaluation_gates, event_envelopes, event_fan_out, query_input_sets, newest_listings, json_rows, page_vectors_stored, filter_syntax,
-        space_audit, revision_rows, rules_as_of, multi_view_search, single_search,
+        space_audit, revision_rows, rules_as_of, multi_view_search, single_search, feed_read, tables_written,
     )
 }

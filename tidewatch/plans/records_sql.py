@@ -135,10 +135,17 @@ SELECT h.embedding_id, h.source_id, 'content ' || vec_id AS excerpt, round(simil
 FROM hits h JOIN pg p ON p.embedding_id = h.embedding_id WHERE query_id = {uid(5, '10')} AND h.source_id IN ({uid(2, '1')}, {uid(2, '2')})
 ORDER BY 1.0 - similarity, h.embedding_id LIMIT 6"""
 
+FEED = f"""WITH {V}, {PAGES}
+SELECT vec_id AS seq, source_id, 'https://pages.example.com/' || vec_id AS final_url, CASE WHEN vec_id % 3 = 0 THEN 100 ELSE 10 END AS max_candidates, dims AS dimensions,
+       vec_id * 60 AS fetched FROM pg"""
+
+TABLES = f"""WITH {V}, {PAGES}
+SELECT 'pages' AS name, page_id AS id FROM pg WHERE vec_id % 3 = 1 UNION ALL SELECT 'page_embeddings', embedding_id FROM pg WHERE vec_id % 3 = 1"""
+
 ORACLES: dict[str, str] = {
     "rule_revisions_created": REVISIONS, "rule_submissions_rejected": REJECTED, "source_creation": SOURCES, "page_requests_rejected": REQUESTS,
     "candidate_audit": CANDIDATES, "provider_output": PROVIDER, "historical_candidates": HISTORICAL, "score_explanations": EXPLAINED, "evaluation_gates": GATES,
     "event_envelopes": ENVELOPES, "event_fan_out": FAN_OUT, "query_input_sets": INPUT_SETS, "newest_listings": NEWEST, "json_rows": JSON,
     "page_vectors_stored": STORED, "filter_syntax": SYNTAX, "space_audit": SPACES, "revision_rows": REVISION_ROWS, "rules_as_of": AS_OF,
-    "multi_view_search": MULTI_VIEW, "single_search": SINGLE,
+    "multi_view_search": MULTI_VIEW, "single_search": SINGLE, "feed_read": FEED, "tables_written": TABLES,
 }

@@ -13,12 +13,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.vectors import embedding_sha256
 from ..operators import access, match, pages
-from ..sources.schemas import SCHEMAS, struct
+from ..sources.schemas import SCHEMAS
 
 #: Tables of the sink and the column whose hash is a row's bucket.
 TABLES = {
@@ -59,7 +60,7 @@ def stored(spark: SparkSession, root: str, table: str, before: int | None = None
 
 def publish(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
     """A batch's rows of a table in place of what an earlier try has left."""
-    fields = struct(table) if table in SCHEMAS else rows.sparkSession.createDataFrame([], COLUMNS[table]).schema
+    fields = T.StructType.fromDDL(COLUMNS[table])
     shown = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).withColumn("bucket", bucket_of(table))
     shown.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{table}/batch={batch_id}")
 
