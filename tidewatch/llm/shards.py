@@ -86,7 +86,11 @@ class ShardTable:
         return F.floor(F.log(ratio) / F.log(F.lit(float(FAN_IN)))).cast("int")
 
     def append(self, rows: DataFrame, arrival_rows: int = ARRIVAL_ROWS) -> int:
-        """Write ``rows`` as they are dealt, without a shuffle, and commit them as new shards."""
+        """Write ``rows`` as they are dealt, without a shuffle, and commit them as new shards.
+
+        Every row is written with all its columns: nulls, repeated rows and texts of
+        any length are kept; no rows give a version without new shards.
+        """
         base = self.version()
         name = f"data/a-{base + 1:09d}-{uuid.uuid4().hex[:8]}"
         rows.write.option("compression", "zstd").option("maxRecordsPerFile", arrival_rows).parquet(f"{self.root}/{name}")
@@ -173,7 +177,7 @@ class ShardTable:
         return rows.join(F.broadcast(moves) if files <= BROADCAST_FILES else moves, shard)
 
     def read(self, schema, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``__shard``."""
+        """The rows of a version, with ``__shard``, or the first free name like it; no version yet has no rows."""
         listed = self.manifest(version).select("shard", "folder")
         return self._rows(listed, listed.count(), schema)
 

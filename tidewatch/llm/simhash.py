@@ -192,7 +192,7 @@ def fingerprint_links(
 ) -> DataFrame:
     """(a, b): links that join every two fingerprints within ``distance`` through a path.
 
-    ``prints`` has distinct fingerprints. A cell with more than ``cell_rows``
+    ``prints`` has distinct fingerprints, null not among them; none give no links. A cell with more than ``cell_rows``
     of them is dealt out as pairs of blocks of about that size, so no task holds
     an unbounded cell and none is dropped. A cell yields at most one link a row,
     not a row a pair; each link joins fingerprints of one component.
