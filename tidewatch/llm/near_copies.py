@@ -108,18 +108,20 @@ def shared_counts(hashes: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     row, column = row[order], np.unique(column[order], return_inverse=True)[1].reshape(-1)
     out = np.zeros((k, k), np.float32)
+    columns = int(column[-1]) + 1 if len(column) else 0
     step = max(TABLE_CELLS // k, 1)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        part = slice(*np.searchsorted(column, [low, low + step]))
-        table = np.zeros((k, step), np.float32)
+    for low in range(0, columns, step):
+        high = min(low + step, columns)
+        part = slice(*np.searchsorted(column, [low, high]))
+        table = np.zeros((k, high - low), np.float32)
         table[row[part], column[part] - low] = 1
         out += table @ table.T
     return out
 
 
-def block_forest(roots: np.ndarray, texts: list[bytes]) -> list[tuple[int, int]]:
+def block_forest(roots: np.ndarray, texts: list[bytes], hashed=None) -> list[tuple[int, int]]:
     """Links that join all texts that are similar, directly or through others, and not of one root already."""
-    hashes = [np.unique(shingle_hashes(t, WIDTH)) for t in texts]
+    hashes = [np.unique(shingle_hashes(t, WIDTH)) for t in texts] if hashed is None else hashed
     n = np.array([len(h) for h in hashes])
     both = shared_counts(hashes)
     near = DENOMINATOR * both >= NUMERATOR * (n[:, None] + n[None, :] - both)
@@ -143,10 +145,13 @@ def block_forest(roots: np.ndarray, texts: list[bytes]) -> list[tuple[int, int]]
 def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of groups of rows (cell, pair, node, root, text) that follow each other."""
     held: list[tuple] = []
+    # A text is in many bands.
+    hashes = lru_cache(4096)(lambda text: np.unique(shingle_hashes(text, WIDTH)))
 
     def linked() -> pa.RecordBatch:
         nodes, roots = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
-        links = block_forest(roots, [r[3] for r in held]) if len(held) > 1 else []
+        texts = [r[3] for r in held]
+        links = block_forest(roots, texts, [hashes(t) for t in texts]) if len(held) > 1 else []
         a, b = (pa.array([nodes[x[k]] for x in links], pa.int64()) for k in (0, 1))
         return pa.record_batch([a, b], names=["a", "b"])
 
