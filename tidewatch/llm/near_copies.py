@@ -167,14 +167,20 @@ def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _cell_links(members: DataFrame, roots: DataFrame | None, texts: DataFrame) -> DataFrame:
-    """(a, b): links between the groups that meet in a band."""
+    """(a, b): links between the groups that meet in a band.
+
+    Texts that are alike share many bands; of bands that hold the same texts, told
+    by 128 bits, one is compared.
+    """
     if roots is None:
         placed = members.withColumn("root", F.col("node"))
     else:
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialise(placed.select("cell", "node", "root"), "near-placed")
-    apart = placed.groupBy("cell").agg((F.min("root") < F.max("root")).alias("apart"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    dealt = placed.join(apart.where("apart").drop("apart"), "cell").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    held = [F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("node"), "node")).alias("x2"), F.count("*").alias("n")]
+    apart = placed.groupBy("cell").agg((F.min("root") < F.max("root")).alias("apart"), *held).where("apart")
+    apart = apart.groupBy("x1", "x2", "n").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
+    dealt = placed.join(apart, "cell").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.least("p", "o").cast("long") * 1_000_000 + F.greatest("p", "o")
     rows = dealt.select("cell", pair.alias("pair"), "node", "root").join(texts, "node").select("cell", "pair", "node", "root", "text")
