@@ -250,62 +250,6 @@ def test_base_scores_and_counts(spark, sf):
     assert gain > 0
 
 
-def plain_tree(texts, depth, gain):
-    """(symbol, context) -> probability, from plain counts of all contexts of the training texts."""
-    count = {}
-    for text in texts:
-        body = b"\x0b" * depth + text
-        for i in range(depth, len(body)):
-            for k in range(depth + 1):
-                count.setdefault(body[i - k : i], Counter())[body[i]] += 1
-    root = count.get(b"", Counter())
-    kept = set()
-    for context, symbols in count.items():
-        if len(context) > 1:
-            up, n, m = count[context[1:]], sum(symbols.values()), sum(count[context[1:]].values())
-            if sum(c * math.log(c / n / (up[s] / m)) for s, c in symbols.items()) >= gain:
-                kept |= {context[i:] for i in range(len(context) - 1)}
-
-    def p(symbol, context):
-        if not context:
-            return (root[symbol] + 0.5) / (sum(root.values()) + 0.5 * 257)
-        symbols = count.get(context, Counter())
-        if not symbols or (len(context) > 1 and context not in kept):
-            return p(symbol, context[1:])
-        return (symbols[symbol] + len(symbols) * p(symbol, context[1:])) / (sum(symbols.values()) + len(symbols))
-
-    return p, kept
-
-
-def test_scores_against_a_plain_tree(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 3000").limit(60)
-    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, "zzqx yy zzqx"), (901, None)], "doc_id long, text string"))
-    docs = spark.createDataFrame(docs.collect(), "doc_id long, text string")
-    bodies = {r.doc_id: suffix_tree_lm.normal_form((r.text or "").encode()) for r in docs.collect()}
-    train = [b for i, b in bodies.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    p, kept = plain_tree(train, suffix_tree_lm.DEPTH, 6.0)
-    assert {len(x) for x in kept} == {2, 3, 4, 5}
-    words = Counter(w for b in train for w in [*b[:-1].split(), b"\n"])
-    n, v = sum(words.values()), len(words)
-    for r in suffix_tree_lm.score(docs, gain=6.0).collect():
-        body, want, at = b"\x0b" * 5 + bodies[r.doc_id], 0.0, 5
-        for w in [*bodies[r.doc_id][:-1].split(), b"\n"]:
-            token = w if w == b"\n" else w + b" "
-            spelled = math.prod(p(body[i], body[i - 5 : i]) for i in range(at, at + len(token)))
-            want += math.log10((words[w] + v * spelled) / (n + v))
-            at += len(token)
-        assert math.isclose(r.score, want, rel_tol=1e-9), r.doc_id
-
-
-def test_tree_is_a_distribution():
-    rng = np.random.default_rng(3)
-    text = bytes(rng.choice(list(b"abc "), 4000).tolist())
-    p, kept = plain_tree([text], 5, 3.0)
-    assert kept
-    for context in (b"ab c ", b"\x0b\x0b\x0b\x0b\x0b", b"zzzzz", b"a\xffabc"):
-        assert 0.99 < sum(p(b, context) for b in range(256)) <= 1.0 + 1e-9
-
-
 def test_model_of_odd_rows(spark):
     got = suffix_tree_lm.score(odd_docs(spark)).collect()
     assert sorted(r.n_tokens for r in got) == sorted(len((t or "").encode().split()) + 1 for _, t, _ in ODD)
@@ -368,22 +312,3 @@ def test_stages_take_odd_rows(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() <= 2 * len(ODD)
         assert stage(spark, docs.limit(0), sf).count() == 0
-
-
-def test_pieces_change_nothing(spark, sf, monkeypatch):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
-    row = suffix_tree_lm.make_shards(docs).first()
-    body, ends = np.frombuffer(bytes(row.body), np.uint8), np.array(row.ends)
-    keys = np.unique(suffix_tree_lm.grams(body, ends, 0, len(body)))
-    logs = np.random.default_rng(1).random(len(keys))
-
-    def parts():
-        found = [(suffix_tree_lm._hash_piece(body[a:b]), suffix_tree_lm._spelled_piece(body, ends, a, b, keys, logs)) for a, b in suffix_tree_lm.pieces(body)]
-        return [np.concatenate(x) for x in zip(*found, strict=True)]
-
-    whole = parts()
-    monkeypatch.setattr(suffix_tree_lm, "PIECE_BYTES", 7)
-    small = parts()
-    assert (whole[0] == small[0]).all() and np.allclose(whole[1], small[1])
-    tokens = [w for d in docs.collect() for w in [*d.text.encode().lower().split(), b"\n"]]
-    assert len(whole[0]) == len(tokens) and len(set(whole[0].tolist())) == len(set(tokens))
