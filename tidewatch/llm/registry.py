@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, inverted_index, jpeg, lines, lloyd, mixing, piece_codec, quality, repeats, shards, simhash, suffix_tree_lm
+from . import html_text, inverted_index, jpeg, lines, lloyd, mixing, piece_codec, prefix_trie, quality, repeats, shards, simhash, suffix_tree_lm
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_model": suffix_tree_lm.op8_language_model,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": inverted_index.op10_decontamination,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_sentencepiece": piece_codec.op12_sentencepiece,
     "op13_centroid_clustering": lloyd.op13_centroid_clustering,
 }
@@ -22,6 +23,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_line_dedup": lines.ORACLE,
     "op10_decontamination": inverted_index.ORACLE,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_sentencepiece": piece_codec.op12_sentencepiece,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_centroid_clustering": lloyd.ORACLE,
 }
