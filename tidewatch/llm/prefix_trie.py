@@ -34,7 +34,7 @@ BORROWED = 4
 #: Places of a conversation that one task sums up.
 CHUNK = 4096
 #: Weight of a component that a task finishes.
-LOCAL = 2000
+LOCAL = 256
 #: Rows of whole components that a task holds at once.
 LOCAL_ROWS = 50_000
 #: Ids that are joined to one piece of a list.
