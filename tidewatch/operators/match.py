@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,22 +61,32 @@ def _admitted_pairs(met: DataFrame, key: str) -> DataFrame:
 RULE = ["alert_embedding_id", "alert_rule_id", "alert_rule_revision_id", "similarity_threshold", "source_filters", "rule_vector"]
 
 
-def reverse_match(pages: DataFrame, rules: DataFrame, key: str = "page_key", block_bytes: int = product.BLOCK_BYTES) -> DataFrame:
+def sides(pages: DataFrame, rules: DataFrame, key: str = "page_key") -> tuple[DataFrame, DataFrame]:
+    """Pages and rules as the two sides of a product: pages choose, rules have a floor and sources."""
+    space = ["tenant_id", *SPACE]
+    asked = F.when(F.col("max_candidates").isNull(), 0).otherwise(F.least(F.col("max_candidates").cast("int"), F.lit(MAX_CANDIDATES)))
+    left = pages.select(*space, F.col(key).alias("l"), F.col("page_vector").alias("v"), F.concat(F.lit(scope.PREFIX), F.col("source_id")).alias("tag"), asked.alias("k"))
+    right = rules.select(
+        *space, F.col("alert_embedding_id").alias("r"), F.col("rule_vector").alias("v"), F.col("similarity_threshold").alias("floor"), F.col("source_filters").alias("tags")
+    )
+    return left, right
+
+
+def reverse_match(
+    pages: DataFrame, rules: DataFrame, key: str = "page_key", block_bytes: int = product.BLOCK_BYTES, pairs: Callable[..., DataFrame] = product.near_pairs
+) -> DataFrame:
     """Each page vector against all rule vectors of its tenant and model space.
 
     ``pages`` has ``key``, tenant_id, source_id, the model space, page_vector and
     max_candidates; ``rules`` as from ``rule_vectors``. A pair counts if the rule
     admits the source and the similarity is a finite number that reaches the
     rule's own single-precision threshold; only then is the nearest kept. Blocks of
-    pages and rules are multiplied to propose pairs, which the exact expression
-    then decides.
+    pages and rules are multiplied and propose as many rules a page as it asks for;
+    ``metric.near_pairs`` as ``pairs`` leaves out blocks that thresholds can't reach.
+    Vectors are fetched for what is left of all blocks, and the exact expression decides.
     """
-    space = ["tenant_id", *SPACE]
-    near = product.near_pairs(
-        pages.select(*space, F.col(key).alias("l"), F.col("page_vector").alias("v")),
-        rules.select(*space, F.col("alert_embedding_id").alias("r"), F.col("rule_vector").alias("v"), F.col("similarity_threshold").alias("floor")),
-        space, block_bytes,
-    )
+    left, right = sides(pages, rules, key)
+    near = product.nearest(pairs(left, right, ["tenant_id", *SPACE], block_bytes, "l"), "l")
     near = near.select(F.col("l").alias(key), F.col("r").alias("alert_embedding_id"))
     return _admitted_pairs(near.join(rules.select(*RULE), "alert_embedding_id").join(pages, key), key)
 

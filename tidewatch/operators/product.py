@@ -1,10 +1,16 @@
-"""Pairs of vectors whose cosine reaches a floor, proposed by matrix products over blocks of both sides."""
+"""Pairs of vectors whose cosine reaches a floor, proposed by matrix products over blocks of both sides.
+
+Where only the nearest few of each row are asked for, every block hands out no more
+than these, with all that lie within a hair of the last of them, so pairs leave the
+product in proportion to rows and not to pairs. Scores are carried on; the exact
+expression is needed only for what is left in the end.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +18,7 @@ from pyspark.sql import types as T
 BLOCK_BYTES = 8 << 20
 #: Scores that a task holds at once.
 SCORES = 4 << 20
-#: How far below its floor a score may lie and still be proposed; the exact expression decides.
+#: How far a score may lie from the exact one, many times over; within it the exact expression decides.
 HAIR = 1e-9
 
 
@@ -25,24 +31,102 @@ def _units(column: pa.ChunkedArray) -> np.ndarray:
         return np.where(length > 0, v / length, np.nan)
 
 
-def _near(left: pa.Table, right: pa.Table) -> pa.Table:
-    rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    if left.num_rows and right.num_rows:
-        a, b = _units(left.column("v")), _units(right.column("v")).T
-        floor = right.column("floor").to_numpy() - HAIR
-        step = max(SCORES // right.num_rows, 1)
-        for at in range(0, len(a), step):
-            with np.errstate(invalid="ignore"):
-                i, j = np.nonzero(a[at : at + step] @ b >= floor)
-            rows.append(i + at)
-            columns.append(j)
-    return pa.table(
-        {"l": left.column("l").take(pa.array(np.concatenate(rows))), "r": right.column("r").take(pa.array(np.concatenate(columns)))}
-    )
+def _admits(tags: pa.ChunkedArray, lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """For each left row the number of its tag, and which of these each right row admits: all for an empty list, none for null."""
+    known: dict = {}
+    codes = np.array([known.setdefault(t, len(known)) for t in tags.to_pylist()], np.int64)
+    admitted = np.zeros((max(len(known), 1), len(lists)), bool)
+    for j, wanted in enumerate(lists.to_pylist()):
+        if wanted is None:
+            continue
+        if not wanted:
+            admitted[:, j] = True
+        for tag in wanted:
+            if tag is not None and tag in known:
+                admitted[known[tag], j] = True
+    return codes, admitted
+
+
+def kth_best(scores: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th greatest score of each row, each row with its own k; minus infinity if it has fewer."""
+    width = scores.shape[1]
+    most = int(min(max(k.max(initial=0), 0), width))
+    if not most:
+        return np.full(len(scores), np.inf)
+    best = np.sort(np.partition(scores, width - most, axis=1)[:, width - most :], axis=1)
+    out = best[np.arange(len(scores)), np.clip(most - k, 0, most - 1)]
+    out[k > width] = -np.inf
+    out[k <= 0] = np.inf
+    return out
+
+
+def _near(per: str | None, tagged: bool, ceiling: bool):
+    """(l, r, score, sure, k) of a block of either side; ``per`` names the side whose rows have a number k of nearest ones."""
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        one, other = (right, left) if per == "r" else (left, right)
+        if left.num_rows and right.num_rows:
+            a, b = _units(one.column("v")), _units(other.column("v")).T
+            floor = right.column("floor").to_numpy() - HAIR
+            highest = right.column("ceiling").to_numpy(zero_copy_only=False).astype(np.float64) if ceiling else None
+            codes, admitted = _admits(left.column("tag"), right.column("tags")) if tagged else (None, None)
+            k = one.column("k").to_numpy() if per else None
+            step = max(SCORES // other.num_rows, 1)
+            for at in range(0, len(a), step):
+                here = slice(at, at + step)
+                # Rows are of the side that chooses; what belongs to right rows lies along it or across.
+                across = (lambda x: x[here, None]) if per == "r" else (lambda x: x[None, :])
+                with np.errstate(invalid="ignore"):
+                    scores = a[here] @ b
+                    open_ = scores >= across(floor)
+                    if tagged:
+                        open_ &= admitted[codes][:, here].T if per == "r" else admitted[codes[here]]
+                    unsure = np.zeros_like(open_)
+                    if ceiling:
+                        top = across(np.where(np.isnan(highest), np.inf, highest))
+                        unsure = open_ & (np.abs(scores - top) <= HAIR)
+                        open_ &= scores < top - HAIR
+                    if per:
+                        kept = np.where(open_, scores, -np.inf)
+                        open_ = (kept >= kth_best(kept, k[here])[:, None] - HAIR) & open_
+                i, j = np.nonzero(open_ | unsure)
+                found.append((i + at, j, scores[i, j], ~unsure[i, j]))
+        i, j, score, sure = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
+        l, r = (j, i) if per == "r" else (i, j)
+        out = {"l": left.column("l").take(pa.array(l)), "r": right.column("r").take(pa.array(r)), "score": pa.array(score), "sure": pa.array(sure)}
+        return pa.table(out | ({"k": one.column("k").take(pa.array(i)).cast(pa.int32())} if per else {}))
+
+    return near
+
+
+def _fitting(rows: DataFrame) -> DataFrame:
+    """Rows whose vector has the size it says and no null in it."""
+    return rows.where((F.size("v") == F.col("dimensions")) & F.forall("v", lambda x: x.isNotNull()))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, key: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(l, r) of rows that share ``key`` and whose vectors' cosine may reach the right row's floor.
+def _per_block(block_bytes: int) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / (F.col("dimensions") * 8 + 64)))
+
+
+def _side(columns: list[str], names: list[str]) -> list[str]:
+    return [c for c in names if c in columns]
+
+
+def multiplied(a: DataFrame, b: DataFrame, group: list[str], per: str | None = None) -> DataFrame:
+    """(l, r, score, sure[, k]) of all groups of rows of either side that meet."""
+    tagged, ceiling = "tag" in a.columns, "ceiling" in b.columns
+    own = [*group, *_side(a.columns, ["l", "v", "tag", "k"])]
+    theirs = [*group, *_side(b.columns, ["r", "v", "floor", "tags", "ceiling", "k"])]
+    fields = [T.StructField("l", a.schema["l"].dataType), T.StructField("r", b.schema["r"].dataType), T.StructField("score", T.DoubleType()), T.StructField("sure", T.BooleanType())]
+    fields += [T.StructField("k", T.IntegerType())] if per else []
+    b = b.withColumn("floor", F.col("floor").cast("double"))
+    met = a.select(*own).groupBy(*group).cogroup(b.select(*theirs).groupBy(*group))
+    return met.applyInArrow(_near(per, tagged, ceiling), T.StructType(fields))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, key: list[str], block_bytes: int = BLOCK_BYTES, per: str | None = None) -> DataFrame:
+    """(l, r, score, sure) of rows that share ``key`` and whose vectors' cosine may reach the right row's floor.
 
     ``left`` has the key, l and v, ``right`` the key, r, v and floor; l and r tell
     rows apart and dimensions is one of the key. Each side of a key is cut by a hash
@@ -50,17 +134,26 @@ def near_pairs(left: DataFrame, right: DataFrame, key: list[str], block_bytes: i
     so a key with most rows is spread over as many tasks as it has pairs of blocks.
     Vectors move once for each block that they meet. Rows whose vector has not the
     size it says, or a null in it, are in no pair.
+
+    With ``per`` l or r each row of that side has a number k, and only its k nearest
+    are proposed, block by block, with all within a hair of the last. What decides
+    before the ranking is known to the blocks: a left row's tag must be in the right
+    row's list of tags (none listed: any), and a right row's ceiling is the score of
+    a cursor. Pairs that lie within a hair of it are all proposed, not sure and not counted.
     """
-    whole = (F.size("v") == F.col("dimensions")) & F.forall("v", lambda x: x.isNotNull())
-    left, right = left.where(whole), right.where(whole)
-    per = F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / (F.col("dimensions") * 8 + 64)))
-    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / F.first(per)).cast("int").alias(name))
+    left, right = _fitting(left), _fitting(right)
+    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / F.first(_per_block(block_bytes))).cast("int").alias(name))
     counts = blocks(left, "rows").join(blocks(right, "columns"), key)
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = left.join(counts, key).withColumn("row", place("l", "rows")).withColumn("column", all_of("columns"))
     b = right.join(counts, key).withColumn("column", place("r", "columns")).withColumn("row", all_of("rows"))
-    group = [*key, "row", "column"]
-    schema = T.StructType([T.StructField("l", left.schema["l"].dataType), T.StructField("r", right.schema["r"].dataType)])
-    met = a.select(*group, "l", "v").groupBy(*group).cogroup(b.select(*group, "r", "v", F.col("floor").cast("double").alias("floor")).groupBy(*group))
-    return met.applyInArrow(_near, schema)
+    return multiplied(a, b, [*key, "row", "column"], per)
+
+
+def nearest(pairs: DataFrame, per: str) -> DataFrame:
+    """Of what all blocks propose for a row the k nearest, with all within a hair of the last, and those that are not sure."""
+    order = Window.partitionBy(per, "sure").orderBy(F.col("score").desc())
+    last = F.max(F.when(F.col("sure") & (F.col("nth") == F.col("k")), F.col("score"))).over(Window.partitionBy(per, "sure"))
+    ranked = pairs.withColumn("nth", F.row_number().over(order)).withColumn("last", last)
+    return ranked.where(F.col("last").isNull() | (F.col("score") >= F.col("last") - HAIR)).select("l", "r", "score")

@@ -29,23 +29,28 @@ def after_cursor(distance: Column, embedding_id: Column, cursor_distance: Column
     return cursor_distance.isNull() | past
 
 
-def scored(items: DataFrame, queries: DataFrame) -> DataFrame:
+def scored(items: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """Items in each query's tenant, model space and sources that reach its floor, with similarity.
 
     ``queries`` has query_id, tenant_id, the model space, vector, min_similarity,
     source_ids and optionally cursor_distance and cursor_id. All filters come
     before any ranking. A similarity that is not a finite number is no hit. Blocks
     of items and queries are multiplied to propose hits, which the exact expression
-    then decides; embedding_id and query_id tell rows apart.
+    then decides; embedding_id and query_id tell rows apart. With ``limit`` at least
+    so many nearest hits of each query are there, and little more: blocks propose no more.
     """
     for name, kind in (("cursor_distance", "double"), ("cursor_id", "string")):
         if name not in queries.columns:
             queries = queries.withColumn(name, F.lit(None).cast(kind))
     space = ["tenant_id", *SPACE]
-    near = product.near_pairs(
-        items.select(*space, F.col("embedding_id").alias("l"), F.col("embedding").alias("v")),
-        queries.select(*space, F.col("query_id").alias("r"), F.col("vector").alias("v"), F.col("min_similarity").alias("floor")), space,
+    right = queries.select(
+        *space, F.col("query_id").alias("r"), F.col("vector").alias("v"), F.col("min_similarity").alias("floor"), F.col("source_ids").alias("tags"),
+        (1.0 - F.col("cursor_distance")).alias("ceiling"), *([] if limit is None else [F.lit(limit).alias("k")]),
     )
+    left = items.select(*space, F.col("embedding_id").alias("l"), F.col("embedding").alias("v"), F.col("source_id").alias("tag"))
+    near = product.near_pairs(left, right, space, per=None if limit is None else "r")
+    if limit is not None:
+        near = product.nearest(near, "r")
     i, q, n = items.alias("i"), queries.alias("q"), near.alias("n")
     inside = (F.size("q.source_ids") == 0) | F.array_contains("q.source_ids", F.col("i.source_id"))
     out = n.join(q, F.col("n.r") == F.col("q.query_id")).join(i, F.col("n.l") == F.col("i.embedding_id")).where(inside).select(
@@ -66,14 +71,14 @@ def search_many(items: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     distance and id of the last row of a query whose ``has_more`` is true.
     """
     order = Window.partitionBy("query_id").orderBy("distance", "embedding_id")
-    ranked = scored(items, queries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit + 1)
+    ranked = scored(items, queries, limit + 1).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit + 1)
     more = F.max("rank").over(Window.partitionBy("query_id")) > limit
     return ranked.withColumn("has_more", more).where(F.col("rank") <= limit).select("query_id", "rank", *HIT, "has_more")
 
 
 def search_one(items: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """As ``search_many`` for a single query: a top-k without a window, a row more than asked for tells of a next page."""
-    return scored(items, queries).orderBy("distance", "embedding_id").limit(limit + 1).select("query_id", *HIT)
+    return scored(items, queries, limit + 1).orderBy("distance", "embedding_id").limit(limit + 1).select("query_id", *HIT)
 
 
 def next_cursors(hits: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scope, text, urls, vectors
 from ..functions.ids import match_key, uuid_of
-from ..operators import access, audit, frontier, match, pages, rules, search, views
+from ..operators import access, audit, frontier, match, metric, pages, rules, search, views
 from ..sources import derived
 from ..sources.schemas import stream_feed
 from ..sources.scratch import scratch_path
@@ -50,6 +50,12 @@ def reverse_match_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _shown_matches(_matches(spark, d, lambda p, r: match.reverse_match(p, r, block_bytes=1 << 14)))
 
 
+def reverse_match_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the metric index, with small cells."""
+    indexed = lambda *a: metric.near_pairs(*a, cell_rows=200)
+    return _shown_matches(_matches(spark, d, lambda p, r: match.reverse_match(p, r, pairs=indexed)))
+
+
 def reverse_match_joined(spark: SparkSession, d: str) -> DataFrame:
     return _shown_matches(_matches(spark, d, match.reverse_match_join))
 
@@ -340,7 +346,7 @@ def streaming_reverse_match(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        reverse_match_topk, reverse_match_blocks, reverse_match_joined, similarity_search, similarity_search_page2, historical_match, page_revision_chain, page_current,
+        reverse_match_topk, reverse_match_blocks, reverse_match_pruned, reverse_match_joined, similarity_search, similarity_search_page2, historical_match, page_revision_chain, page_current,
         url_policy, content_hash, query_keywords, query_entities, query_inputs, query_input_report, weighted_centroid, source_scope,
         rule_listing_by_principal, active_rule_counts, active_rule_cap, active_rule_cap_with_disable, rule_embedding_upsert, candidate_dedup,
         candidate_counts, match_keys, event_visibility, immutability_audit, integrity_audit, input_audit, frontier_due, page_views, page_inputs, embedding_sha256,

@@ -264,6 +264,7 @@ SELECT conv_id || '-' || turn AS query_id, 'ok' AS status, inputs, 1.0 AS length
 ORACLES: dict[str, str] = {
     "reverse_match_topk": REVERSE,
     "reverse_match_blocks": REVERSE,
+    "reverse_match_pruned": REVERSE,
     "reverse_match_joined": REVERSE,
     "similarity_search": search_page(1),
     "similarity_search_page2": search_page(2),
