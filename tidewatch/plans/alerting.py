@@ -343,6 +343,21 @@ def streaming_reverse_match(spark: SparkSession, d: str) -> DataFrame:
     return found.select("tenant_id", "alert_rule_id", "alert_embedding_id", F.round("similarity", 6).alias("similarity"), "threshold")
 
 
+def streaming_reverse_match_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The same feed in four batches; folders are merged after the second and the fourth, and a batch is sent once more after each."""
+    root = scratch_path(spark, "stream")
+    fetches, sources = _feed(spark, d)
+    rules_now = _rule_vectors(spark, d)
+    for n in range(4):
+        part = fetches.where(F.col("seq") % 4 == n)
+        reverse.ingest(spark, part, root, sources, rules_now, n)
+        if n % 2:
+            reverse.merge(spark, root)
+            reverse.ingest(spark, part, root, sources, rules_now, n)
+    found = reverse.stored(spark, root, "match_candidates")
+    return found.select("tenant_id", "alert_rule_id", "alert_embedding_id", F.round("similarity", 6).alias("similarity"), "threshold")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -350,6 +365,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         url_policy, content_hash, query_keywords, query_entities, query_inputs, query_input_report, weighted_centroid, source_scope,
         rule_listing_by_principal, active_rule_counts, active_rule_cap, active_rule_cap_with_disable, rule_embedding_upsert, candidate_dedup,
         candidate_counts, match_keys, event_visibility, immutability_audit, integrity_audit, input_audit, frontier_due, page_views, page_inputs, embedding_sha256,
-        vector_text, principal_claims, query_vectors, streaming_reverse_match,
+        vector_text, principal_claims, query_vectors, streaming_reverse_match, streaming_reverse_match_merged,
     )
 }

@@ -261,6 +261,10 @@ c AS (SELECT conv_id, turn, any_value(inputs) AS inputs, sqrt(sum(m * m)) AS len
 SELECT conv_id || '-' || turn AS query_id, 'ok' AS status, inputs, 1.0 AS length, round(CAST(CAST(first / len AS FLOAT) AS DOUBLE), 5) AS first,
        round(CAST(CAST(last / len AS FLOAT) AS DOUBLE), 5) AS last FROM c"""
 
+STREAMED = f"""WITH {V}, {RULES}, {PAGES}, {MATCHED}
+SELECT p.tenant_id, rule_id AS alert_rule_id, rule_embedding_id AS alert_embedding_id, round(similarity, 6) AS similarity, threshold
+FROM matched m JOIN pg p ON m.revision_id = p.revision_id"""
+
 ORACLES: dict[str, str] = {
     "reverse_match_topk": REVERSE,
     "reverse_match_blocks": REVERSE,
@@ -297,7 +301,6 @@ ORACLES: dict[str, str] = {
     "query_vectors": QUERY_VECTORS,
     "vector_text": "SELECT vec_id, TRUE AS same, len(embedding) AS dimensions FROM embeddings",
     "principal_claims": CLAIMS,
-    "streaming_reverse_match": f"""WITH {V}, {RULES}, {PAGES}, {MATCHED}
-SELECT p.tenant_id, rule_id AS alert_rule_id, rule_embedding_id AS alert_embedding_id, round(similarity, 6) AS similarity, threshold
-FROM matched m JOIN pg p ON m.revision_id = p.revision_id""",
+    "streaming_reverse_match": STREAMED,
+    "streaming_reverse_match_merged": STREAMED,
 }

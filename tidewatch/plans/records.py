@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scope, text
 from ..functions.ids import uuid_of
-from ..operators import access, audit, frontier, match, pages, rules, search, views
+from ..operators import access, audit, frontier, intervals, match, pages, rules, search, views
 from ..sources import derived, schemas
 from ..sources.scratch import scratch_path
 from ..streaming import reverse
@@ -273,7 +273,7 @@ def rules_as_of(spark: SparkSession, d: str) -> DataFrame:
     until = F.lead("valid_from").over(Window.partitionBy("tenant_id", "topic").orderBy("valid_from"))
     versions = versions.withColumn("valid_to", until)
     p = derived.page_base(spark, d).select("tenant_id", "revision_id", "fetched_at")
-    return p.join(versions, "tenant_id").where(reverse.rules_at(F.col("fetched_at"))).select("revision_id", "topic", "rule_revision_id")
+    return intervals.held_by(p, versions, ["tenant_id"], "fetched_at", "valid_from", "valid_to").select("revision_id", "topic", "rule_revision_id")
 
 
 def _views_of_queries(spark: SparkSession, d: str) -> DataFrame:

@@ -1,24 +1,26 @@
 """Reverse matching of a page feed in micro-batches.
 
 Each batch is taken in by the batch operators against what earlier batches have
-stored. A batch owns one folder of each table and writes it anew, and reads only
-folders of earlier batches, so a batch that is replayed, after a failure between
-any two writes too, leaves all tables as they were. Within a batch rows are laid
-out in buckets of their key; a batch reads the buckets that its own keys fall in.
+stored. A batch writes a folder of each table and publishes all of them at once, by
+a marker (``sources.commits``), so readers see all of a batch or nothing of it,
+and a batch that is replayed, after a failure between any two writes too, leaves
+all tables as they were. Within a folder rows are laid out in buckets of their key;
+a batch reads the buckets that its own keys fall in.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.vectors import embedding_sha256
 from ..operators import access, match, pages
+from ..sources.commits import Folder, Ledger
 from ..sources.schemas import SCHEMAS
 
 #: Tables of the sink and the column whose hash is a row's bucket.
@@ -38,18 +40,21 @@ def bucket_of(table: str) -> Column:
     return F.pmod(F.xxhash64(TABLES[table]), F.lit(BUCKETS)).cast("int")
 
 
+def _of(spark: SparkSession, root: str, table: str, folders: list[Folder]) -> DataFrame:
+    read = spark.read.schema(f"{COLUMNS[table]}, batch bigint, bucket int").option("basePath", f"{root}/{table}")
+    return read.parquet(*(f"{root}/{table}/{f.name}" for f in folders)).drop("folder")
+
+
 def stored(spark: SparkSession, root: str, table: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """A table of the sink; empty before anything was written.
+    """A table of the sink as the published batches make it; empty before the first.
 
     ``before`` leaves out that batch and later ones; ``keys`` has the column that
     buckets go by, and only buckets with one of its rows are read.
     """
-    try:
-        found = spark.read.schema(f"{COLUMNS[table]}, batch bigint, bucket int").parquet(f"{root}/{table}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    folders = [f for f in Ledger(spark, root).folders() if before is None or f.first < before]
+    if not folders:
         return spark.createDataFrame([], COLUMNS[table])
+    found = _of(spark, root, table, folders)
     if before is not None:
         found = found.where(F.col("batch") < before)
     if keys is not None:
@@ -58,11 +63,27 @@ def stored(spark: SparkSession, root: str, table: str, before: int | None = None
     return found.drop("batch", "bucket")
 
 
-def publish(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
-    """A batch's rows of a table in place of what an earlier try has left."""
+def publish(rows: DataFrame, root: str, table: str, folder: Folder) -> None:
+    """A batch's rows of a table, for nobody to read before the batch has its marker."""
     fields = T.StructType.fromDDL(COLUMNS[table])
-    shown = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).withColumn("bucket", bucket_of(table))
-    shown.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{table}/batch={batch_id}")
+    shown = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).withColumns({"batch": F.lit(folder.first).cast("long"), "bucket": bucket_of(table)})
+    shown.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{table}/{folder.name}")
+
+
+def merge(spark: SparkSession, root: str) -> bool:
+    """Put the folders of all published batches together, a file a bucket; false if there is nothing to merge or another merge was first.
+
+    Rows keep their batch. Readers and batches under way go on with the folders that they have listed.
+    """
+    ledger = Ledger(spark, root)
+    folders = ledger.folders()
+    if len(folders) < 2:
+        return False
+    whole = Folder(folders[0].first, folders[-1].last, f"folder=merged-{folders[-1].last}-{uuid.uuid4().hex}")
+    for table in TABLES:
+        rows = _of(spark, root, table, folders)
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{table}/{whole.name}")
+    return ledger.publish(whole, "merged")
 
 
 def known_revisions(spark: SparkSession, root: str, batch_id: int, arrived: DataFrame) -> DataFrame:
@@ -95,28 +116,30 @@ def _cut(df: DataFrame, work: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
 
 
-def _removed(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def ingest(spark: SparkSession, batch: DataFrame, root: str, sources: DataFrame, rules: DataFrame, batch_id: int = 0) -> None:
-    """Take in one batch: refuse, chain, match, and write what is new under the batch's number."""
-    work = f"{root}/_work/batch-{batch_id}"
-    good, rejected = pages.admitted(_cut(pages.classified(batch, sources), work, "judged"))
-    arrived = pages.arrivals(good)
-    chain = _cut(pages.revision_chain(arrived, known=known_revisions(spark, root, batch_id, arrived)), work, "chain")
-    candidates = _cut(match.reverse_candidates(matched_pages(chain, rules), F.col("fetched_at")), work, "candidates")
-    old = stored(spark, root, "match_candidates", batch_id, candidates)
-    inserted, _, conflicts = match.merge_candidates(candidates, old, match.REVERSE_EVIDENCE)
-    conflicts = _cut(conflicts, work, "conflicts")
-    kept = match.without_conflicted_pages(chain, conflicts)
-    publish(match.without_conflicted_pages(inserted, conflicts), root, "match_candidates", batch_id)
-    publish(pages.new_revisions(kept), root, "page_revisions", batch_id)
-    publish(conflicts, root, "candidate_conflicts", batch_id)
-    publish(rejected, root, "rejected_fetches", batch_id)
-    publish(kept, root, "page_pointers", batch_id)
-    _removed(spark, work)
+    """Take in one batch: refuse, chain, match, write what is new, and publish it; nothing if the batch is published already."""
+    ledger = Ledger(spark, root)
+    if ledger.has(batch_id):
+        return
+    folder = ledger.draft(batch_id)
+    work = f"{root}/_work/{folder.name}"
+    try:
+        good, rejected = pages.admitted(_cut(pages.classified(batch, sources), work, "judged"))
+        arrived = pages.arrivals(good)
+        chain = _cut(pages.revision_chain(arrived, known=known_revisions(spark, root, batch_id, arrived)), work, "chain")
+        candidates = _cut(match.reverse_candidates(matched_pages(chain, rules), F.col("fetched_at")), work, "candidates")
+        old = stored(spark, root, "match_candidates", batch_id, candidates)
+        inserted, _, conflicts = match.merge_candidates(candidates, old, match.REVERSE_EVIDENCE)
+        conflicts = _cut(conflicts, work, "conflicts")
+        kept = match.without_conflicted_pages(chain, conflicts)
+        publish(match.without_conflicted_pages(inserted, conflicts), root, "match_candidates", folder)
+        publish(pages.new_revisions(kept), root, "page_revisions", folder)
+        publish(conflicts, root, "candidate_conflicts", folder)
+        publish(rejected, root, "rejected_fetches", folder)
+        publish(kept, root, "page_pointers", folder)
+        ledger.publish(folder)
+    finally:
+        ledger.remove(f"_work/{folder.name}")
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
@@ -148,8 +171,3 @@ def fan_out(events: DataFrame, principals: DataFrame, root: str, checkpoint: str
         seen.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def rules_at(fetched_at: Column) -> Column:
-    """Join condition for rules as they were at arrival: valid_from <= fetched_at < valid_to."""
-    return (F.col("valid_from") <= fetched_at) & (F.col("valid_to").isNull() | (fetched_at < F.col("valid_to")))
