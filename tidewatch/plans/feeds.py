@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pages
+from ..operators import activations, pages, pooling
 from ..sources import derived, schemas
 from ..sources.scratch import scratch_path
-from ..streaming import page_state, requests
+from ..streaming import frontier_store, page_state, requests
 from . import alerting
 
 ARRIVED = "page_id string, seq long, revision_id string, content_sha256 string, fetched_at timestamp"
@@ -47,4 +48,48 @@ def feed_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return requests.told_apart(spark, schemas.read_feed(spark, f"{root}/feed"), f"{root}/out").select("seq", "tenant_id", "source_id", "outcome")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (page_state_stream, feed_deduplicated)}
+def active_rule_cap_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """The log of enables and disables folded in four parts, each on top of what the one before left; every part is sent twice."""
+    log = derived.activations(spark, d)
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    width = (high - low) // 4 + 1 if low is not None else 1
+    state, told = activations.no_state(spark), []
+    for n in range(4):
+        part = log.where((F.col("seq") - F.lit(low or 0)) / F.lit(width) >= n).where((F.col("seq") - F.lit(low or 0)) / F.lit(width) < n + 1)
+        for _ in range(2):
+            rows, state = activations.folded(part, state)
+            told.append(rows)
+    return reduce(DataFrame.unionByName, told)
+
+
+def _found_urls(spark: SparkSession, d: str) -> DataFrame:
+    return derived.crawl_queue(spark, d).withColumns({"status": F.lit("pending"), "n": F.unix_seconds("created_at") / 60}).withColumn(
+        "canonical_url", F.concat(F.lit("https://e.com/"), (F.col("n") % 400).cast("int").cast("string"))
+    )
+
+
+def frontier_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Found URLs merged into the stored frontier in three batches; every tenth URL of the first one is leased."""
+    root = scratch_path(spark, "frontier")
+    found = _found_urls(spark, d)
+    part = lambda n: found.where(F.col("n") % 3 == n).drop("n")
+    frontier_store.upsert(spark, root, part(0).withColumn("status", F.when(F.col("canonical_url").endswith("7"), "leased").otherwise("pending")), 0)
+    for n in (1, 2, 2):
+        frontier_store.upsert(spark, root, part(n), n)
+    return frontier_store.stored(spark, root).select("source_id", "canonical_url", "status", F.col("depth").cast("int").alias("depth"), "priority", F.unix_seconds("created_at").alias("created"))
+
+
+def weighted_centroid_merged(spark: SparkSession, d: str) -> DataFrame:
+    """``weighted_centroid`` by sums that are merged part by part."""
+    e = derived.table(spark, d, "embeddings").select(
+        F.floor(F.col("vec_id") / 10).cast("bigint").alias("set_id"), "embedding", (F.lit(0.5) + F.lit(0.125) * (F.col("vec_id") % 10)).alias("weight")
+    )
+    pooled = pooling.weighted_centroid(e, "set_id", "embedding", "weight")
+    return pooled.select("set_id", "status", F.posexplode("centroid").alias("place", "value")).select(
+        "set_id", "status", "place", F.round(F.col("value").cast("double"), 5).alias("value")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (page_state_stream, feed_deduplicated, active_rule_cap_by_day, frontier_upserts, weighted_centroid_merged)
+}
