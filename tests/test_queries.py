@@ -10,13 +10,13 @@ sys.path.insert(0, __file__.rpartition("/")[0])
 from compare import assert_equal  # noqa: E402
 
 from tidewatch.operators import match, pages  # noqa: E402
-from tidewatch.plans import alerting, alerting_sql, feeds, feeds_sql, records, records_sql  # noqa: E402
+from tidewatch.plans import alerting, alerting_sql, contracts, contracts_sql, feeds, feeds_sql, records, records_sql  # noqa: E402
 from tidewatch.sources import schemas  # noqa: E402
 from tidewatch.streaming import reverse  # noqa: E402
 
 
-QUERIES = {**alerting.QUERIES, **records.QUERIES, **feeds.QUERIES}
-ORACLES = {**alerting_sql.ORACLES, **records_sql.ORACLES, **feeds_sql.ORACLES}
+QUERIES = {**alerting.QUERIES, **records.QUERIES, **feeds.QUERIES, **contracts.QUERIES}
+ORACLES = {**alerting_sql.ORACLES, **records_sql.ORACLES, **feeds_sql.ORACLES, **contracts_sql.ORACLES}
 
 
 def test_every_sql_has_its_query():

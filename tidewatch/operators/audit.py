@@ -161,3 +161,10 @@ def immutability(before: DataFrame, after: DataFrame, table: str, key: str | Non
         F.col(f"b.{key}").alias("id"), F.when(gone, "deleted").otherwise("mutated").alias("change"),
         F.when(gone, F.array().cast("array<string>")).otherwise(changed).alias("columns"),
     ).where((F.col("change") == "deleted") | (F.size("columns") > 0))
+
+
+def stating_hash(rows: DataFrame, revisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused): rows whose revision is their tenant's and carries the content hash that they state."""
+    key = ["tenant_id", "revision_id", "content_sha256"]
+    known = revisions.select(*key)
+    return rows.join(known, key, "left_semi"), rows.join(known, key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,3 +150,23 @@ def query_vectors(queries: DataFrame, embedder: Callable[[pd.Series], pd.Series]
         "query_id", F.when(F.col("bad") > 0, "invalid_vector").otherwise(F.col("status")).alias("status"),
         F.when(F.col("bad") == 0, F.col("centroid")).alias("centroid"), "inputs", norm(F.col("centroid")).alias("length"),
     )
+
+
+def in_order(outputs: DataFrame) -> DataFrame:
+    """(set_id, position, index, embedding) of a provider's outputs in the order of their index, whatever order they came in.
+
+    ``outputs`` has set_id, index and embedding. A set has the inputs of one subject, which the input checks bound.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("index", "embedding")))
+    sorted_ = outputs.groupBy("set_id").agg(listed.alias("o")).select("set_id", F.posexplode("o").alias("position", "o"))
+    return sorted_.select("set_id", "position", "o.index", "o.embedding")
+
+
+def new_input_vectors(vectors: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """Rows for semantic_input_vectors: the first vector of an input in a model space stays, as do stored ones."""
+    key = ["input_id", "model", "model_version", "dimensions", "normalization"]
+    first = Window.partitionBy(*key).orderBy(order)
+    rows = vectors.withColumn("nth", F.row_number().over(first)).where("nth = 1").join(stored.select(*key), key, "left_anti")
+    return rows.where(is_valid(F.col("embedding"), F.col("dimensions"))).select(
+        "tenant_id", "input_id", "model", "model_version", "normalization", "dimensions", "embedding", "generated_at"
+    )
