@@ -23,8 +23,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_line_dedup": lines.ORACLE,
     "op10_decontamination": inverted_index.ORACLE,
-    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
-    "op12_sentencepiece": piece_codec.op12_sentencepiece,
     "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_centroid_clustering": lloyd.ORACLE,
 }
