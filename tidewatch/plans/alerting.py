@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scope, text, urls, vectors
 from ..functions.ids import match_key, uuid_of
-from ..operators import access, audit, frontier, match, metric, pages, rules, search, views
+from ..operators import access, audit, frontier, match, metric, pages, rules, search, snapshots, views
 from ..sources import derived
 from ..sources.schemas import stream_feed
 from ..sources.scratch import scratch_path
@@ -216,12 +216,24 @@ def event_visibility(spark: SparkSession, d: str) -> DataFrame:
     return access.event_audience(derived.event_feed(spark, d), derived.event_principals(spark, d)).select("subject", "event_id", "event_type")
 
 
-def immutability_audit(spark: SparkSession, d: str) -> DataFrame:
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     before = derived.alert_rule_revisions(spark, d)
     n = F.substring("alert_rule_id", -6, 6).cast("int")
     after = before.where(n % 11 != 0).withColumn("similarity_threshold", F.when(n % 13 == 0, F.lit(0.9).cast("float")).otherwise(F.col("similarity_threshold")))
-    after = after.withColumn("name", F.when(n % 26 == 0, "renamed").otherwise(F.col("name")))
-    found = audit.immutability(before, after, "alert_rule_revisions")
+    return before, after.withColumn("name", F.when(n % 26 == 0, "renamed").otherwise(F.col("name")))
+
+
+def immutability_audit(spark: SparkSession, d: str) -> DataFrame:
+    found = audit.immutability(*_snapshots(spark, d), "alert_rule_revisions")
+    return found.select("id", "change", F.array_join(F.array_sort("columns"), ",").alias("columns"))
+
+
+def immutability_by_digest(spark: SparkSession, d: str) -> DataFrame:
+    """``immutability_audit`` of stored snapshots, of which only the ranges that differ are joined."""
+    roots = [scratch_path(spark, "snapshot") for _ in range(2)]
+    for rows, root in zip(_snapshots(spark, d), roots, strict=True):
+        snapshots.write(rows, root, "revision_id", audit.MUTABLE["alert_rule_revisions"])
+    found = snapshots.immutability(spark, *roots, "alert_rule_revisions")
     return found.select("id", "change", F.array_join(F.array_sort("columns"), ",").alias("columns"))
 
 
@@ -364,7 +376,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reverse_match_topk, reverse_match_blocks, reverse_match_pruned, reverse_match_joined, similarity_search, similarity_search_page2, historical_match, page_revision_chain, page_current,
         url_policy, content_hash, query_keywords, query_entities, query_inputs, query_input_report, weighted_centroid, source_scope,
         rule_listing_by_principal, active_rule_counts, active_rule_cap, active_rule_cap_with_disable, rule_embedding_upsert, candidate_dedup,
-        candidate_counts, match_keys, event_visibility, immutability_audit, integrity_audit, input_audit, frontier_due, page_views, page_inputs, embedding_sha256,
+        candidate_counts, match_keys, event_visibility, immutability_audit, immutability_by_digest, integrity_audit, input_audit, frontier_due, page_views, page_inputs, embedding_sha256,
         vector_text, principal_claims, query_vectors, streaming_reverse_match, streaming_reverse_match_merged,
     )
 }

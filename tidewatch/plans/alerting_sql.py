@@ -292,7 +292,7 @@ ORACLES: dict[str, str] = {
     "candidate_counts": CANDIDATE_COUNTS,
     "match_keys": MATCH_KEY,
     "event_visibility": VISIBILITY,
-    "immutability_audit": IMMUTABLE,
+    "immutability_audit": IMMUTABLE, "immutability_by_digest": IMMUTABLE,
     "integrity_audit": INTEGRITY,
     "input_audit": INPUT_AUDIT,
     "frontier_due": FRONTIER,
