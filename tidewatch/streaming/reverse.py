@@ -5,7 +5,8 @@ stored. A batch writes a folder of each table and publishes all of them at once,
 a marker (``sources.commits``), so readers see all of a batch or nothing of it,
 and a batch that is replayed, after a failure between any two writes too, leaves
 all tables as they were. Within a folder rows are laid out in buckets of their key;
-a batch reads the buckets that its own keys fall in.
+a batch reads the buckets that its own keys fall in. Candidates have Bloom filters
+beside their folders: buckets that hold none of a batch's keys are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.vectors import embedding_sha256
 from ..operators import access, match, pages
+from ..sources import key_filters
 from ..sources.commits import Folder, Ledger
 from ..sources.schemas import SCHEMAS
 
@@ -29,6 +31,9 @@ TABLES = {
     "rejected_fetches": "seq",
 }
 BUCKETS = 16
+#: Tables whose folders have filters of their keys, in a table of that name with ``_filters`` after it.
+FILTERED = ("match_candidates",)
+FILTER_COLUMNS = "bucket int, width int, word bigint, bits bigint"
 COLUMNS = {
     "page_pointers": "page_id string, revision_id string, seq bigint, fetched_at timestamp, tenant_id string, source_id string, canonical_url string",
     "rejected_fetches": "seq bigint, tenant_id string, source_id string, url string, reject_reason string",
@@ -49,25 +54,51 @@ def stored(spark: SparkSession, root: str, table: str, before: int | None = None
     """A table of the sink as the published batches make it; empty before the first.
 
     ``before`` leaves out that batch and later ones; ``keys`` has the column that
-    buckets go by, and only buckets with one of its rows are read.
+    buckets go by, and only buckets with one of its rows are read. Of a table with
+    filters, only what may hold one of ``keys`` is read: a superset of their rows.
     """
     folders = [f for f in Ledger(spark, root).folders() if before is None or f.first < before]
     if not folders:
         return spark.createDataFrame([], COLUMNS[table])
-    found = _of(spark, root, table, folders)
+    if keys is not None and table in FILTERED:
+        found = _may_hold(spark, root, table, folders, keys)
+    else:
+        found = _of(spark, root, table, folders)
+        if keys is not None:
+            # At most as many numbers as there are buckets.
+            found = found.where(F.col("bucket").isin([r[0] for r in keys.select(bucket_of(table)).distinct().collect()]))
     if before is not None:
         found = found.where(F.col("batch") < before)
-    if keys is not None:
-        # At most as many numbers as there are buckets.
-        found = found.where(F.col("bucket").isin([r[0] for r in keys.select(bucket_of(table)).distinct().collect()]))
     return found.drop("batch", "bucket")
 
 
+def _may_hold(spark: SparkSession, root: str, table: str, folders: list[Folder], keys: DataFrame) -> DataFrame:
+    """Rows in the buckets of folders whose filters may hold one of ``keys``."""
+    key = TABLES[table]
+    read = spark.read.schema(f"{FILTER_COLUMNS}, folder string").option("basePath", f"{root}/{table}_filters")
+    filters = read.parquet(*(f"{root}/{table}_filters/{f.name}" for f in folders))
+    asked = keys.select(key, bucket_of(table).alias("bucket"))
+    # A row a folder and bucket: folders since the last merge, times the buckets.
+    places = key_filters.possible(filters, asked, key).select("folder", "bucket").distinct().collect()
+    if not places:
+        return spark.createDataFrame([], f"{COLUMNS[table]}, batch bigint, bucket int")
+    read = spark.read.schema(f"{COLUMNS[table]}, batch bigint, bucket int").option("basePath", f"{root}/{table}")
+    return read.parquet(*(f"{root}/{table}/folder={p.folder}/bucket={p.bucket}" for p in sorted(places))).drop("folder")
+
+
+def _write_filters(spark: SparkSession, root: str, table: str, folder: Folder) -> None:
+    """The filters of a folder that is written but not yet published."""
+    held = _of(spark, root, table, [folder]).select("bucket", TABLES[table])
+    key_filters.build(held, TABLES[table]).sortWithinPartitions("bucket", "word").write.parquet(f"{root}/{table}_filters/{folder.name}")
+
+
 def publish(rows: DataFrame, root: str, table: str, folder: Folder) -> None:
     """A batch's rows of a table, for nobody to read before the batch has its marker."""
     fields = T.StructType.fromDDL(COLUMNS[table])
     shown = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).withColumns({"batch": F.lit(folder.first).cast("long"), "bucket": bucket_of(table)})
     shown.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{table}/{folder.name}")
+    if table in FILTERED:
+        _write_filters(rows.sparkSession, root, table, folder)
 
 
 def merge(spark: SparkSession, root: str) -> bool:
@@ -83,6 +114,8 @@ def merge(spark: SparkSession, root: str) -> bool:
     for table in TABLES:
         rows = _of(spark, root, table, folders)
         rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{table}/{whole.name}")
+        if table in FILTERED:
+            _write_filters(spark, root, table, whole)
     return ledger.publish(whole, "merged")
 
 
