@@ -12,6 +12,7 @@ of its links is compared shingle by shingle before it counts.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -34,8 +35,11 @@ NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 32, 4
 #: Shingles whose orders are computed at once, so that a very long text needs little memory.
 CHUNK = 1 << 12
-#: Texts of a band in one block. Larger bands are compared as pairs of blocks, so that no task holds an unbounded one.
-BLOCK_ROWS = 400
+#: Texts of a band in one block, and about how many distinct shingles they have. Bands beyond either are compared as
+#: pairs of blocks, so that no task holds more than two blocks, or two texts.
+BLOCK_ROWS, BLOCK_SHINGLES = 400, 1 << 20
+#: Hashes that a task keeps of texts that it may meet again in the next band.
+HELD_HASHES = 1 << 22
 #: Cells of a table of texts and shared shingles that a task fills at once.
 TABLE_CELLS = 1 << 22
 
@@ -146,12 +150,24 @@ def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Links of groups of rows (cell, pair, node, root, text) that follow each other."""
     held: list[tuple] = []
     # A text is in many bands.
-    hashes = lru_cache(4096)(lambda text: np.unique(shingle_hashes(text, WIDTH)))
+    kept: OrderedDict[int, np.ndarray] = OrderedDict()
+    size = 0
+
+    def hashes(node: int, text: bytes) -> np.ndarray:
+        nonlocal size
+        found = kept.pop(node, None)
+        if found is None:
+            found = np.unique(shingle_hashes(text, WIDTH))
+            size += len(found)
+        kept[node] = found
+        while size > HELD_HASHES:
+            size -= len(kept.popitem(last=False)[1])
+        return found
 
     def linked() -> pa.RecordBatch:
         nodes, roots = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
         texts = [r[3] for r in held]
-        links = block_forest(roots, texts, [hashes(t) for t in texts]) if len(held) > 1 else []
+        links = block_forest(roots, texts, [hashes(r[1], r[3]) for r in held]) if len(held) > 1 else []
         a, b = (pa.array([nodes[x[k]] for x in links], pa.int64()) for k in (0, 1))
         return pa.record_batch([a, b], names=["a", "b"])
 
@@ -176,11 +192,13 @@ def _cell_links(members: DataFrame, roots: DataFrame | None, texts: DataFrame) -
         placed = members.withColumn("root", F.col("node"))
     else:
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialise(placed.select("cell", "node", "root"), "near-placed")
-    held = [F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("node"), "node")).alias("x2"), F.count("*").alias("n")]
+    placed = materialise(placed.select("cell", "node", "root", "n"), "near-placed")
+    held = [F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("node"), "node")).alias("x2"), F.count("*").alias("texts"), F.sum("n").alias("n")]
     apart = placed.groupBy("cell").agg((F.min("root") < F.max("root")).alias("apart"), *held).where("apart")
-    apart = apart.groupBy("x1", "x2", "n").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
-    dealt = placed.join(apart, "cell").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    apart = apart.groupBy("x1", "x2", "texts", "n").agg(F.min("cell").alias("cell"))
+    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_ROWS, F.least(F.col("n") / BLOCK_SHINGLES, "texts")))
+    apart = apart.select("cell", blocks.cast("int").alias("parts"))
+    dealt = placed.drop("n").join(apart, "cell").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.least("p", "o").cast("long") * 1_000_000 + F.greatest("p", "o")
     rows = dealt.select("cell", pair.alias("pair"), "node", "root").join(texts, "node").select("cell", "pair", "node", "root", "text")
@@ -208,7 +226,7 @@ def groups(docs: DataFrame) -> DataFrame:
     one = [F.first(c).alias(c) for c in ("fp", "n", "cells")]
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *one)
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    cells = classes.select(F.explode("cells").alias("cell"), "node")
+    cells = classes.select(F.explode("cells").alias("cell"), "node", "n")
     shared = materialise(cells.groupBy("cell").count().where("count > 1").select("cell"), "near-cells")
     members = materialise(cells.join(shared, "cell"), "near-members")
     pairs = materialise(_print_pairs(classes), "near-prints")
@@ -242,7 +260,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` of each group of near copies, the one of least id; columns as they are.
 
     A null id is taken only where a group has no other. Rows are told apart by id
-    and text, so rows that share an id but are in different groups all stay.
+    and text, so rows that share an id but are in different groups all stay. Of rows
+    that share id and text too, the first by the written form of its columns stays.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     keep = materialise(
@@ -251,4 +270,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     plain, named = renamed(docs)
     marked = plain.withColumns({"kept": F.col(named["doc_id"]).cast("long"), "digest": digest_of(F.col(named["text"]))})
     same = marked["digest"].eqNullSafe(keep["keep_digest"]) & marked["kept"].eqNullSafe(keep["keep_id"])
-    return marked.join(keep, same, "left_semi").dropDuplicates(["kept", "digest"]).drop("kept", "digest").toDF(*docs.columns)
+    # A null and an empty text have one digest, so the text's absence counts too.
+    order = [F.col(c).cast("string") for c in plain.columns if c not in (named["doc_id"], named["text"])]
+    first = F.min_by(F.struct(*plain.columns), F.struct(F.col(named["text"]).isNull(), *order)).alias("first")
+    kept = marked.join(keep, same, "left_semi").groupBy("kept", "digest").agg(first)
+    return kept.select(*[F.col(f"first.{c}") for c in plain.columns]).toDF(*docs.columns)
