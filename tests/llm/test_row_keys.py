@@ -42,6 +42,19 @@ def test_decontaminate_by_row(spark):
     assert {r.doc_id: (r.hits, r.items) for r in found.collect() if r.hits} == {0: ([0, 1, 2, 3], ["b"]), 1: ([0, 1, 2, 3], ["b"]), 2: ([0, 1], [])}
 
 
+def test_documents_are_told_by_stored_shards(spark, monkeypatch):
+    """Answers to several blocks belong together however the index is split when it is read."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.expr("concat('alpha beta gamma delta ', id, ' omega ', id % 7, ' end of it')").alias("text"))
+    items = spark.createDataFrame([(f"i{i}", f"omega {i} end of") for i in range(7)] + [("all", "alpha beta gamma delta")], "item_id string, text string")
+    index = inverted_index.build_index(docs.repartition(5))
+    assert index.select("shard").distinct().count() == index.count() == 5
+    want = {i: (list(range(4)) + list(range(5, 9)), sorted(["all", f"i{i % 7}"])) for i in range(60)}
+    monkeypatch.setattr(inverted_index, "BLOCK_BYTES", 100)
+    for split in (index, index.coalesce(1), index.repartition(3, "shard")):
+        found = inverted_index.search(split, items, size=4).collect()
+        assert len(found) == 60 and {r.doc_id: (sorted(r.hits), r.items) for r in found} == want
+
+
 def test_quality_and_copies_by_row(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int")

@@ -132,13 +132,15 @@ def build_index(docs: DataFrame) -> DataFrame:
     ``starts[i]`` is the shard-wide position of document i's first word and
     ``starts[-1]`` the number of words. The postings of ``terms[j]`` (sorted
     hashes) end at ``ends[j]`` in ``gaps``, which holds a term's first position
-    and then the steps between positions. Null texts have no words; ids may be
-    null, repeated, numbers, strings or binary.
+    and then the steps between positions. ``shard`` numbers the rows and is stored
+    with them, so that a document is the same one in every pass over the index. Null
+    texts have no words; ids may be null, repeated, numbers, strings or binary.
     """
     kind = dict(docs.dtypes)["doc_id"]
     kind = kind if kind in ID_KINDS else "bigint"
     slim = docs.select(F.col("doc_id").cast(kind), F.col("text").cast("binary").alias("text"))
-    return materialise(slim.mapInArrow(_shard_batches(ID_KINDS[kind]), INDEX_SCHEMA.format(kind=kind)), "positional-index")
+    shards = slim.mapInArrow(_shard_batches(ID_KINDS[kind]), INDEX_SCHEMA.format(kind=kind))
+    return materialise(shards.withColumn("shard", F.monotonically_increasing_id()), "positional-index")
 
 
 class Block:
@@ -274,7 +276,6 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) ->
     """
     spark = index.sparkSession
     kind = dict(index.dtypes)["doc_ids"][6:-1]
-    shards = index.withColumn("shard", F.monotonically_increasing_id())
     asked = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
     total = asked.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     n_blocks = -(-total // BLOCK_BYTES) or 1
@@ -283,7 +284,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) ->
         part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number)
         block = Block([(r["item_id"], bytes(r["text"])) for r in part.toLocalIterator()], size)
         sent = spark.sparkContext.broadcast(block)
-        one = shards.mapInArrow(_search_batches(sent, slop, ID_KINDS[kind]), FOUND_SCHEMA.format(kind=kind))
+        one = index.mapInArrow(_search_batches(sent, slop, ID_KINDS[kind]), FOUND_SCHEMA.format(kind=kind))
         if n_blocks == 1:
             return one.select("doc_id", "n_words", "hits", "items")
         found.append(materialise(one, "index-found"))
