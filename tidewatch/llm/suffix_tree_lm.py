@@ -1,4 +1,7 @@
-"""Language-model scores by a probabilistic suffix tree.
+"""Language-model scores by a probabilistic suffix tree over bytes before words.
+
+The query's tree is that of ``word_tree``, whose states are words. This one, whose
+states are bytes, needs less disk; both read texts by the functions here.
 
 A text is read as its lower-cased words and an end symbol. The events are the
 words that training knows, the end among them, and one event "unseen" for all
@@ -527,5 +530,7 @@ def score(docs: DataFrame, gain: float = GAIN, shard_bytes: int = SHARD_BYTES, r
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of each row of ``documents``; null and empty texts are their end symbol, repeated rows score alike."""
-    return score(spread(documents(spark, sf_dir)))
+    """Scores of each row of ``documents`` by the tree whose states are words; null and empty texts are their end symbol, repeated rows score alike."""
+    from . import word_tree  # it reads texts as this module does
+
+    return word_tree.score(spread(documents(spark, sf_dir)))
