@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidewatch.llm import suffix_tree_lm, word_tree
@@ -92,3 +93,34 @@ def test_odd_tables(spark, sample):
     rows = word_tree.score(spark.createDataFrame([(None, None), (None, "a"), (3, "a")], "doc_id long, text string")).collect()
     assert sorted(r.n_tokens for r in rows) == [1, 2, 2] and all(math.isfinite(r.score) for r in rows)
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_ranges_merged_once_and_in_parts_agree(sample, monkeypatch):
+    rows, docs = sample
+    plain = Plain([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], 1.0)
+    got = {}
+    for cells in (10, word_tree.MERGE_CELLS):
+        monkeypatch.setattr(word_tree, "MERGE_CELLS", cells)
+        got[cells] = {r.doc_id: r.score for r in word_tree.score(docs, 1.0, shard_bytes=900, range_bytes=2000).collect()}
+    one, other = got.values()
+    assert one == other and all(math.isclose(one[i], plain.score(text), rel_tol=1e-6) for i, text in rows)
+
+
+@pytest.mark.parametrize("top", [50, 1 << 40, 1 << 60])
+def test_distinct_keys(top):
+    keys = np.random.default_rng(3).integers(0, top, 400)
+    keys[200:] = keys[:200]
+    own, where = word_tree.distinct(keys.copy())
+    assert own.tolist() == sorted(set(keys.tolist())) and (own[where] == keys).all()
+    assert [len(x) for x in word_tree.distinct(keys[:0])] == [0, 0]
+
+
+def test_answers_hold_counts_not_a_probability_a_cell(spark, tmp_path, monkeypatch):
+    """What shards are told of states, most of which are not kept, is stored in under a byte a token; it took 3.5."""
+    paths = []
+    monkeypatch.setattr(word_tree, "scratch_path", lambda _, name: paths.append(tmp_path / f"{name}-{len(paths)}") or str(paths[-1]))
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(3000 * rng.random() ** 3)}" for _ in range(400))) for i in range(500)]
+    tokens = word_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=1 << 18).agg({"n_tokens": "sum"}).first()[0]
+    told = [p for p in paths if p.name.startswith("lm-answers")]
+    assert len(told) == word_tree.DEPTH and sum(x.stat().st_size for x in told[1].glob("*.parquet")) < tokens
