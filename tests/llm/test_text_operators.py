@@ -209,3 +209,26 @@ def test_cut_digest(spark, sf):
     got = repeats.op5_repeats(spark, sf).where("n_removed = 0").limit(3).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert all(r.kept_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in got)
+
+
+def test_repeats_where_joins_become_broadcasts(spark):
+    """Joins planned as sorts and made broadcasts at run time, as on large tables, must leave an anchor's group in one task."""
+    rng = random.Random(12)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    shared = [word(30) for _ in range(30)]
+    texts = [word(rng.randrange(20, 60)) + s + word(rng.randrange(20, 60)) for s in shared * 2 + shared[:1] * 6]
+    want = repeat_oracle([t.encode() for t in texts], 24)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "1g",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOC).repartition(4, "doc_id")
+        got = repeats.remove_repeats(docs, length=24, gram=8, group_rows=3).orderBy("doc_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got] == want
