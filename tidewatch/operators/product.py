@@ -8,8 +8,11 @@ expression is needed only for what is left in the end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +23,18 @@ BLOCK_BYTES = 8 << 20
 SCORES = 4 << 20
 #: How far a score may lie from the exact one, many times over; within it the exact expression decides.
 HAIR = 1e-9
+#: Rows that a task hands on at once.
+HANDED = 1 << 17
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
 def _units(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors of one size at length 1, in double precision; a zero vector gives no number."""
-    lists = column.combine_chunks()
-    v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    v = _matrix(column)
     length = np.sqrt((v * v).sum(axis=1, keepdims=True))
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.where(length > 0, v / length, np.nan)
@@ -60,6 +69,62 @@ def kth_best(scores: np.ndarray, k: np.ndarray) -> np.ndarray:
     return out
 
 
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cosine of row i of ``a`` and row j of ``b``, summed in order as the exact expression does."""
+    in_order = lambda x: np.add.accumulate(x, axis=1)[:, -1]
+    out = np.empty(len(i))
+    for at in range(0, len(i), 1 << 14):
+        x, y = a[i[at : at + (1 << 14)]], b[j[at : at + (1 << 14)]]
+        out[at : at + (1 << 14)] = in_order(x * y) / (np.sqrt(in_order(x * x)) * np.sqrt(in_order(y * y)))
+    return out
+
+
+def _gathering(tagged: bool):
+    """(l, r, weighted, weight, best) of a block of either side: sums over right rows of one r."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches)
+        left, right = whole.filter(pc.invert(whole.column("right"))), whole.filter(whole.column("right"))
+        if not left.num_rows or not right.num_rows:
+            return
+        known: dict = {}
+        of = np.array([known.setdefault(r, len(known)) for r in right.column("r").to_pylist()])
+        order = np.argsort(of, kind="stable")
+        right, starts = right.take(pa.array(order)), np.searchsorted(of[order], np.arange(len(known)))
+        a, b = _matrix(left.column("v")), _matrix(right.column("v"))
+        units, across = _units(left.column("v")), _units(right.column("v")).T
+        floor = right.column("floor").to_numpy()
+        weight = right.column("weight").to_numpy()
+        weighs = right.column("weight").is_valid().to_numpy()
+        codes, admitted = _admits(left.column("tag"), right.column("tags")) if tagged else (None, None)
+        step = max(min(SCORES // len(b), HANDED // len(known)), 1)
+        for at in range(0, len(a), step):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores = units[at : at + step] @ across
+                open_ = scores >= floor - HAIR
+                if tagged:
+                    open_ &= admitted[codes[at : at + step]]
+                i, j = np.nonzero(open_ & (scores <= floor + HAIR))
+                scores[i, j] = _exact(a, b, at + i, j)
+                open_[i, j] = scores[i, j] >= floor[j]
+                each = lambda x, how=np.add: how.reduceat(x, starts, axis=1)
+                weighing = open_ & weighs
+                weighted, total = each(np.where(weighing, scores * weight, 0.0)), each(np.where(weighing, weight, 0.0))
+                best = each(np.where(open_, scores, -np.inf), np.maximum)
+            none = ~each(weighing, np.logical_or)
+            i, j = np.nonzero(each(open_, np.logical_or))
+            number = lambda x: pa.array(x[i, j], mask=none[i, j])
+            yield pa.record_batch(
+                [
+                    left.column("l").take(pa.array(at + i)).combine_chunks(), right.column("r").take(pa.array(starts[j])).combine_chunks(),
+                    number(weighted), number(total), pa.array(best[i, j]),
+                ],
+                names=["l", "r", "weighted", "weight", "best"],
+            )
+
+    return gather
+
+
 def _near(per: str | None, tagged: bool, ceiling: bool):
     """(l, r, score, sure, k) of a block of either side; ``per`` names the side whose rows have a number k of nearest ones."""
 
@@ -125,6 +190,19 @@ def multiplied(a: DataFrame, b: DataFrame, group: list[str], per: str | None = N
     return met.applyInArrow(_near(per, tagged, ceiling), T.StructType(fields))
 
 
+def met(left: DataFrame, right: DataFrame, key: list[str], block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Both sides cut by a hash into blocks, each row once for each block of the other side: those that meet share key, row and column."""
+    left, right = _fitting(left), _fitting(right)
+    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / F.first(_per_block(block_bytes))).cast("int").alias(name))
+    counts = blocks(left, "rows").join(blocks(right, "columns"), key)
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = "of" if "of" in right.columns else "r"
+    a = left.join(counts, key).withColumn("row", place("l", "rows")).withColumn("column", all_of("columns"))
+    b = right.join(counts, key).withColumn("column", place(of, "columns")).withColumn("row", all_of("rows"))
+    return a, b
+
+
 def near_pairs(left: DataFrame, right: DataFrame, key: list[str], block_bytes: int = BLOCK_BYTES, per: str | None = None) -> DataFrame:
     """(l, r, score, sure) of rows that share ``key`` and whose vectors' cosine may reach the right row's floor.
 
@@ -141,16 +219,32 @@ def near_pairs(left: DataFrame, right: DataFrame, key: list[str], block_bytes: i
     row's list of tags (none listed: any), and a right row's ceiling is the score of
     a cursor. Pairs that lie within a hair of it are all proposed, not sure and not counted.
     """
-    left, right = _fitting(left), _fitting(right)
-    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / F.first(_per_block(block_bytes))).cast("int").alias(name))
-    counts = blocks(left, "rows").join(blocks(right, "columns"), key)
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = left.join(counts, key).withColumn("row", place("l", "rows")).withColumn("column", all_of("columns"))
-    b = right.join(counts, key).withColumn("column", place("r", "columns")).withColumn("row", all_of("rows"))
+    a, b = met(left, right, key, block_bytes)
     return multiplied(a, b, [*key, "row", "column"], per)
 
 
+def gathered(left: DataFrame, right: DataFrame, key: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(l, r, weighted, weight, best) of rows as in ``near_pairs``: over all right rows of one r that reach their own floor for an l.
+
+    Right rows have a weight, and several may have the same r: what tells them apart is of. ``weighted`` is the sum of
+    cosine times weight, ``weight`` that of the weights, null where all are null, and ``best``
+    the greatest cosine. Pairs are summed up where they are multiplied, block by block, so
+    rows come out in proportion to l and r and no pair leaves a task; whether a pair within a
+    hair of its floor counts is decided by its exact cosine.
+    """
+    a, b = met(left, right, key, block_bytes)
+    tagged, group = "tag" in a.columns, [*key, "row", "column"]
+    kinds = {"l": a.schema["l"].dataType, "r": b.schema["r"].dataType}
+    shared = {"right": F.lit(False), "l": F.lit(None).cast(kinds["l"]), "r": F.lit(None).cast(kinds["r"]), "floor": F.lit(None).cast("double"), "weight": F.lit(None).cast("double")}
+    shared |= {"tag": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>")} if tagged else {}
+    one = lambda df, own: df.select(*group, "v", *[own.get(c, x).alias(c) for c, x in shared.items()])
+    ours = one(a, {c: F.col(c) for c in ("l", "tag")})
+    theirs = one(b, {"right": F.lit(True), "r": F.col("r"), "floor": F.col("floor").cast("double"), "weight": F.col("weight").cast("double"), "tags": F.col("tags") if tagged else None})
+    fields = [T.StructField(c, kind) for c, kind in kinds.items()] + [T.StructField(c, T.DoubleType()) for c in ("weighted", "weight", "best")]
+    parts = ours.unionByName(theirs).groupBy(*group).applyInArrow(_gathering(tagged), T.StructType(fields))
+    return parts.groupBy("l", "r").agg(F.sum("weighted").alias("weighted"), F.sum("weight").alias("weight"), F.max("best").alias("best"))
+
+
 def nearest(pairs: DataFrame, per: str) -> DataFrame:
     """Of what all blocks propose for a row the k nearest, with all within a hair of the last, and those that are not sure."""
     order = Window.partitionBy(per, "sure").orderBy(F.col("score").desc())

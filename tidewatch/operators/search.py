@@ -88,12 +88,31 @@ def next_cursors(hits: DataFrame) -> DataFrame:
     ).select("query_id", F.col("c.distance").alias("cursor_distance"), F.col("c.embedding_id").alias("cursor_id"))
 
 
-def multi_view_scores(items: DataFrame, views: DataFrame, how: str = "max") -> DataFrame:
-    """(query_id, embedding_id, score): similarity over a query's weighted views, as best or weighted mean.
+def multi_view_totals(items: DataFrame, views: DataFrame) -> DataFrame:
+    """(query_id, embedding_id, mean_score, best_score): similarity over a query's weighted views, as weighted mean and best.
 
     ``views`` are queries with input_id and weight. An addition to the single-vector search.
+    Views are summed up where blocks are multiplied, so that memory and what is shuffled
+    grow with the scores handed out and not with all pairs of items and views. Views after
+    a cursor go by the pairs themselves.
     """
-    per = scored(items, views.withColumn("query_id", F.struct("query_id", "input_id", "weight")))
-    per = per.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.weight").alias("weight"), "embedding_id", "similarity")
-    score = F.max("similarity") if how == "max" else F.sum(F.col("similarity") * F.col("weight")) / F.sum("weight")
-    return per.groupBy("query_id", "embedding_id").agg(score.alias("score"))
+    if "cursor_distance" in views.columns:
+        per = scored(items, views.withColumn("query_id", F.struct("query_id", "input_id", "weight")))
+        by = {"query_id": F.col("query_id.query_id"), "weight": F.col("query_id.weight")}
+        per = per.select(*[c.alias(name) for name, c in by.items()], "embedding_id", "similarity")
+        mean = F.sum(F.col("similarity") * F.col("weight")) / F.sum("weight")
+        return per.groupBy("query_id", "embedding_id").agg(mean.alias("mean_score"), F.max("similarity").alias("best_score"))
+    space = ["tenant_id", *SPACE]
+    right = views.select(
+        *space, F.col("query_id").alias("r"), F.struct("query_id", "input_id").alias("of"), F.col("vector").alias("v"), F.col("min_similarity").alias("floor"), F.col("source_ids").alias("tags"), "weight"
+    )
+    left = items.where("embedding_id IS NOT NULL").select(*space, F.col("embedding_id").alias("l"), F.col("embedding").alias("v"), F.col("source_id").alias("tag"))
+    sums = product.gathered(left, right, space)
+    return sums.select(
+        F.col("r").alias("query_id"), F.col("l").alias("embedding_id"), (F.col("weighted") / F.col("weight")).alias("mean_score"), F.col("best").alias("best_score")
+    )
+
+
+def multi_view_scores(items: DataFrame, views: DataFrame, how: str = "max") -> DataFrame:
+    """(query_id, embedding_id, score): one of the two figures of ``multi_view_totals``."""
+    return multi_view_totals(items, views).select("query_id", "embedding_id", F.col("best_score" if how == "max" else "mean_score").alias("score"))

@@ -287,10 +287,8 @@ def _views_of_queries(spark: SparkSession, d: str) -> DataFrame:
 
 def multi_view_search(spark: SparkSession, d: str) -> DataFrame:
     """Four queries of many views each: the weighted mean and the best similarity of every page."""
-    items, asked = alerting._items(spark, d), _views_of_queries(spark, d)
-    mean = search.multi_view_scores(items, asked, "mean").select("query_id", "embedding_id", F.round("score", 6).alias("mean_score"))
-    best = search.multi_view_scores(items, asked, "max").select("query_id", "embedding_id", F.round("score", 6).alias("best_score"))
-    return mean.join(best, ["query_id", "embedding_id"])
+    found = search.multi_view_totals(alerting._items(spark, d), _views_of_queries(spark, d))
+    return found.select("query_id", "embedding_id", *[F.round(c, 6).alias(c) for c in ("mean_score", "best_score")])
 
 
 def single_search(spark: SparkSession, d: str) -> DataFrame:
