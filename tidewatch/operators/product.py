@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Bytes of vectors in one block of a side. A task multiplies one block of each side.
 BLOCK_BYTES = 8 << 20
+#: How often a row is sent at most where blocks are smaller than that; where more of them would meet it, they are joined.
+COPIES = 8
 #: Scores that a task holds at once.
 SCORES = 4 << 20
 #: How far a score may lie from the exact one, many times over; within it the exact expression decides.
@@ -191,9 +193,16 @@ def multiplied(a: DataFrame, b: DataFrame, group: list[str], per: str | None = N
 
 
 def met(left: DataFrame, right: DataFrame, key: list[str], block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Both sides cut by a hash into blocks, each row once for each block of the other side: those that meet share key, row and column."""
+    """Both sides cut by a hash into blocks, each row once for each block of the other side: those that meet share key, row and column.
+
+    Blocks have at most ``block_bytes``, or, where a side would have more than ``COPIES`` of
+    these, a ``COPIES``th of the side, up to ``BLOCK_BYTES``: what is sent grows with the
+    rows times the number of full blocks, and not with that of small ones.
+    """
     left, right = _fitting(left), _fitting(right)
-    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / F.first(_per_block(block_bytes))).cast("int").alias(name))
+    per = lambda n: F.ceil(F.count("*") / F.first(_per_block(n))).cast("int")
+    pieces = F.greatest(F.least(per(block_bytes), F.lit(COPIES)), per(max(block_bytes, BLOCK_BYTES)))
+    blocks = lambda df, name: df.groupBy(*key).agg(pieces.alias(name))
     counts = blocks(left, "rows").join(blocks(right, "columns"), key)
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -208,7 +217,7 @@ def near_pairs(left: DataFrame, right: DataFrame, key: list[str], block_bytes: i
 
     ``left`` has the key, l and v, ``right`` the key, r, v and floor; l and r tell
     rows apart and dimensions is one of the key. Each side of a key is cut by a hash
-    into blocks of bounded bytes, and every two blocks meet in a group of their own,
+    into blocks of bounded bytes (see ``met``), and every two blocks meet in a group of their own,
     so a key with most rows is spread over as many tasks as it has pairs of blocks.
     Vectors move once for each block that they meet. Rows whose vector has not the
     size it says, or a null in it, are in no pair.
