@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scope
 from ..functions.ids import derived_uuid, match_key
-from ..functions.vectors import cosine_similarity, is_finite
+from ..functions.vectors import cosine_similarity, is_finite, norm
 from . import product, search
 
 SPACE = ["model", "model_version", "dimensions", "normalization"]
@@ -91,10 +91,61 @@ def reverse_match(
     return _admitted_pairs(near.join(rules.select(*RULE), "alert_embedding_id").join(pages, key), key)
 
 
+#: Components of vectors that a join holds as columns of their own; further ones stay in an array.
+COLUMNS = 64
+#: Bytes of vectors in a block of either side of the join.
+JOINED_BYTES = 1 << 20
+
+
+def _in_columns(vector: str, norm_as: str, n: int) -> list[Column]:
+    """The length of a vector, its first ``n`` components as columns that are never null, and the rest."""
+    v = F.col(vector)
+    double = lambda i: F.coalesce(F.get(v, F.lit(i)).cast("double"), F.lit(0.0)).alias(f"{norm_as}{i}")
+    return [norm(v).alias(norm_as), *[double(i) for i in range(n)], F.slice(v, n + 1, F.greatest(F.size(v) - n, F.lit(0))).alias(f"{norm_as}_rest")]
+
+
 def reverse_match_join(pages: DataFrame, rules: DataFrame, key: str = "page_key") -> DataFrame:
-    """``reverse_match`` as one join, for few pages or rules: every pair of a space is computed by expressions alone."""
-    space = ["tenant_id", *SPACE]
-    return _admitted_pairs(pages.join(rules.select(*space, *RULE), space), key)
+    """``reverse_match`` as one join: every pair of a space is computed by expressions alone.
+
+    Both sides are cut into blocks as for the product, so that a large space is many
+    tasks' work. The first ``COLUMNS`` components are columns, whose sum of products Spark
+    compiles, and each pair's is computed once in the join, in order, to the last bit as by
+    ``cosine_similarity``; shorter vectors end in zeros, longer ones go on with an array.
+    ``key`` and alert_embedding_id tell rows apart.
+    """
+    space = ["tenant_id", *SPACE, "_size"]
+    whole = lambda v: F.forall(v, lambda x: x.isNotNull())
+    left = pages.withColumn("_size", F.size("page_vector")).where(whole("page_vector"))
+    right = rules.select("tenant_id", *SPACE, *RULE).withColumn("_size", F.size("rule_vector")).where(whole("rule_vector"))
+    most = right.agg(F.max("_size")).first()[0] or 0
+    n = min(most, COLUMNS)
+    page = ["source_id", "max_candidates", *_in_columns("page_vector", "_p", n)]
+    rule = [*[c for c in RULE if c not in ("alert_embedding_id", "rule_vector")], *_in_columns("rule_vector", "_r", n)]
+    a, b = product.blocks(left, right, space, key, "alert_embedding_id", JOINED_BYTES)
+    group = [*space, "row", "column"]
+    a = a.select(*group, key, F.concat(F.lit(scope.PREFIX), F.col("source_id")).alias("_tag"), *page).where("_p > 0")
+    b = b.select(*group, "alert_embedding_id", F.col("similarity_threshold").cast("double").alias("threshold"), *rule).where("_r > 0")
+    dot = F.lit(0.0)
+    for i in range(n):
+        dot = dot + F.col(f"_p{i}") * F.col(f"_r{i}")
+    if most > n:
+        rest = F.zip_with(F.col("_p_rest").cast("array<double>"), F.col("_r_rest").cast("array<double>"), lambda x, y: x * y)
+        dot = F.aggregate(rest, dot, lambda s, x: s + x)
+    scale = F.col("_p") * F.col("_r")
+    x, y = a.alias("x"), b.alias("y")
+    same = F.lit(True)
+    for c in group:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    admitted = (F.size("source_filters") == 0) | F.array_contains("source_filters", F.col("_tag"))
+    # A little less than the threshold: the quotient decides, after the ranking, lest the sum is computed for each condition again.
+    pairs = x.join(y, same & (dot >= (F.col("threshold") - product.HAIR) * scale) & admitted).select(
+        key, "x.tenant_id", "source_id", "max_candidates", *[f"x.{c}" for c in SPACE], "alert_rule_id", "alert_rule_revision_id", "alert_embedding_id", "threshold",
+        (dot / scale).alias("similarity"),
+    )
+    reaches = is_finite(F.col("similarity")) & (F.col("similarity") >= F.col("threshold"))
+    order = Window.partitionBy(key).orderBy(F.coalesce(reaches, F.lit(False)).desc(), "distance", "alert_embedding_id")
+    top = pairs.withColumn("distance", 1.0 - F.col("similarity")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_CANDIDATES)
+    return top.where((F.col("rank") <= F.col("max_candidates")) & reaches)
 
 
 def historical_match(items: DataFrame, rules: DataFrame, limit: int, requested_threshold: float = 0.0) -> DataFrame:

@@ -199,16 +199,19 @@ def met(left: DataFrame, right: DataFrame, key: list[str], block_bytes: int = BL
     these, a ``COPIES``th of the side, up to ``BLOCK_BYTES``: what is sent grows with the
     rows times the number of full blocks, and not with that of small ones.
     """
-    left, right = _fitting(left), _fitting(right)
+    return blocks(_fitting(left), _fitting(right), key, "l", "of" if "of" in right.columns else "r", block_bytes)
+
+
+def blocks(left: DataFrame, right: DataFrame, key: list[str], of_left: str, of_right: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """As ``met``, of rows that are as they should be; ``of_left`` and ``of_right`` are hashed."""
     per = lambda n: F.ceil(F.count("*") / F.first(_per_block(n))).cast("int")
     pieces = F.greatest(F.least(per(block_bytes), F.lit(COPIES)), per(max(block_bytes, BLOCK_BYTES)))
-    blocks = lambda df, name: df.groupBy(*key).agg(pieces.alias(name))
-    counts = blocks(left, "rows").join(blocks(right, "columns"), key)
+    number = lambda df, name: df.groupBy(*key).agg(pieces.alias(name))
+    counts = number(left, "rows").join(number(right, "columns"), key)
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    of = "of" if "of" in right.columns else "r"
-    a = left.join(counts, key).withColumn("row", place("l", "rows")).withColumn("column", all_of("columns"))
-    b = right.join(counts, key).withColumn("column", place(of, "columns")).withColumn("row", all_of("rows"))
+    a = left.join(counts, key).withColumn("row", place(of_left, "rows")).withColumn("column", all_of("columns"))
+    b = right.join(counts, key).withColumn("column", place(of_right, "columns")).withColumn("row", all_of("rows"))
     return a, b
 
 
