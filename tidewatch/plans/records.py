@@ -183,11 +183,13 @@ def event_envelopes(spark: SparkSession, d: str) -> DataFrame:
 def event_fan_out(spark: SparkSession, d: str) -> DataFrame:
     """The envelopes as a stream, each to every subscriber that may see it."""
     root = scratch_path(spark, "fan-out")
-    _events(spark, d).repartition(2, "payload").write.json(f"{root}/in")
-    feed = spark.readStream.schema(schemas.struct("events_out")).option("maxFilesPerTrigger", 1).json(f"{root}/in")
+    # Files of two batches, as many in each as a shuffle has tasks.
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _events(spark, d).repartition(2 * files, "payload").write.option("compression", "gzip").json(f"{root}/in")
+    feed = spark.readStream.schema(schemas.struct("events_out")).option("maxFilesPerTrigger", files).json(f"{root}/in")
     reverse.fan_out(feed, derived.event_principals(spark, d), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    sent = spark.read.parquet(f"{root}/out")
-    return sent.select("subject", "event_type", F.get_json_object("payload", "$.data.event_id").cast("bigint").alias("event_id"))
+    shown = ["event_type", F.get_json_object("payload", "$.data.event_id").cast("bigint").alias("event_id")]
+    return reverse.received(spark, f"{root}/out", shown).select("subject", "event_type", "event_id")
 
 
 def query_input_sets(spark: SparkSession, d: str) -> DataFrame:
